@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from candrank.llm.bpe import op1_bpe
+from candrank.llm.packing import op8_packing
 from candrank.llm.quality import op7_quality_rules
 from candrank.llm.secrets import op2_secret_scan
 from candrank.llm.simhash import op9_simhash_dedup
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 
