@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from candrank.llm.bpe import op1_bpe
+from candrank.llm.language import op5_language_id
 from candrank.llm.packing import op8_packing
 from candrank.llm.quality import op7_quality_rules
 from candrank.llm.secrets import op2_secret_scan
 from candrank.llm.simhash import op9_simhash_dedup
+from candrank.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
+    "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
