@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from candrank.llm.bpe import op1_bpe
 from candrank.llm.language import op5_language_id
+from candrank.llm.lines import OP3_SQL, op3_line_dedup
 from candrank.llm.packing import op8_packing
 from candrank.llm.quality import op7_quality_rules
 from candrank.llm.secrets import op2_secret_scan
 from candrank.llm.simhash import op9_simhash_dedup
+from candrank.llm.topk import OP4_SQL, op4_topk
 from candrank.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_topk": op4_topk,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
@@ -20,4 +24,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_topk": OP4_SQL}
