@@ -44,17 +44,17 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < n, ordered)
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the features) for each row of docs."""
+def text_statistics(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """(carried, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the features) for each row of docs; carried is a column of docs."""
     text = F.col("text")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id",
+    base = docs.select(carried, F.coalesce("text", F.lit("")).alias("text")).select(
+        carried,
         "text",
         F.filter(F.split(text, f"{WORD_BREAK}+"), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0).alias("lines"),
     )
     base = base.select(
-        "doc_id",
+        carried,
         F.size("words").cast("long").alias("n_words"),
         (F.length("text") - _without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
         _without(text, SYMBOLS).cast("long").alias("n_symbols"),
@@ -85,7 +85,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     words = F.greatest(F.col("n_words"), F.lit(1))
     return base.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("word_chars") / words).alias("mean_word"),
         (F.col("n_symbols") / chars).alias("symbols"),
         (F.col("n_upper") / chars).alias("upper"),
@@ -190,6 +190,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, params: CoverParams = Cove
     return text_statistics(docs).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, params: CoverParams = CoverParams()) -> DataFrame:
+    """The rows of docs that the rules keep, unchanged."""
+    rules = fit_decision_list(docs, labels, params)
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__document"))
+    judged = text_statistics(rows, "__document").withColumn("__kept", ~F.col("base_failed") & verdict(rules))
+    return judged.where("__kept").select("__document.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, n_words, four counts, base_failed, kept."""
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
