@@ -9,6 +9,7 @@ from candrank.llm.packing import op8_packing
 from candrank.llm.quality import op7_quality_rules
 from candrank.llm.secrets import op2_secret_scan
 from candrank.llm.simhash import op9_simhash_dedup
+from candrank.llm.substrings import op6_substring_dedup
 from candrank.llm.topk import OP4_SQL, op4_topk
 from candrank.llm.toxicity import op10_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_topk": op4_topk,
     "op5_language_id": op5_language_id,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
