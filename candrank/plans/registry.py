@@ -2,5 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from candrank.plans import queries as Q
+from candrank.plans.oracle import ORACLE_SQL  # noqa: F401
+
+QUERIES = {
+    name: getattr(Q, name)
+    for name in (
+        "candidate_rank", "novelty_distribution", "accession_summary", "first_hit", "last_wins", "top_n_distinct", "seq_filter", "seq_filter_stats",
+        "fasta_roundtrip", "catalogue_filter", "fallback_append", "multi_table_union", "pair_enumeration", "pair_score_strong", "lineage_rollup",
+        "depth_from_intervals", "depth_summary", "read_counts", "supported_runs", "decision_label", "annotation_map", "hit_table", "keyed_json",
+        "zip_lists", "safe_names", "revcomp", "digest_manifest", "pose_summary", "pose_rmsd", "contact_join", "verdict_table", "grid_gate", "stream_filter",
+    )
+} | {"run_selection_fewest": Q._selection("fewest"), "run_selection_most": Q._selection("most")}
