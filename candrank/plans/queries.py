@@ -92,7 +92,7 @@ def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """documents as FASTA text, wrapped, read back by the record splitter."""
     letters = F.regexp_replace("text", "[^A-Za-z]", "")
     docs = t(spark, d, "documents").select("doc_id", fasta_text(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(" lang="), F.col("lang")), letters).alias("value"))
-    raw = docs.select(F.struct(F.lit("memory").alias("file_path"), F.col("doc_id").alias("file_block_start"), (F.col("doc_id") + 1).alias("n")).alias("ordinal"), "value")
+    raw = docs.select(F.struct(F.lit("memory").alias("file_path"), F.col("doc_id").alias("file_block_start"), (F.col("doc_id") + 1).alias("n")).alias("ordinal"), "value", F.lit(True).alias("is_first"))
     return readers.fasta(raw).select("id", "header", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("seq_md5"))
 
 
@@ -145,8 +145,8 @@ def pair_enumeration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_score_strong(spark: SparkSession, d: str) -> DataFrame:
-    """Short conversation turns of equal opening words, aligned pairwise across conversations: identity, coverage and strong flag."""
-    turns = t(spark, d, "conversations").where(F.col("text").isNotNull()).select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), F.lower(F.substring_index("text", " ", 2)).alias("opening"))
+    """Short conversation turns of equal opening, aligned pairwise across conversations: identity, coverage and strong flag."""
+    turns = t(spark, d, "conversations").where(F.col("text").isNotNull()).select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), F.lower(F.substring("text", 1, 4)).alias("opening"))
     first = dedup.first_by(turns, ["opening", "conv_id"], "turn", "text")
     rank = F.row_number().over(Window.partitionBy("opening").orderBy("conv_id"))
     near = first.withColumn("k", rank)

@@ -24,22 +24,26 @@ def text_records(spark: SparkSession, path: str, separator: str = "\n>") -> Data
 
 
 def fasta(raw: DataFrame) -> DataFrame:
-    """Records of text_records (or of a stream) to (ordinal, id, header, seq).
+    """Records (ordinal, value, is_first) to (ordinal, id, header, seq); is_first marks the record at the head of a file.
 
     Lines are stripped and blank lines dropped; a header that stands after blanks begins a record too; text before the
-    first header is dropped.
+    first header of a file is dropped.
     """
-    cut = raw.select("ordinal", F.posexplode(F.split(F.concat(F.lit("\n>"), F.regexp_replace("value", r"^\s*>|\r", "")), r"\n[ \t]*>")).alias("part", "body"), F.col("value"))
+    cut = raw.select("ordinal", F.posexplode(F.split(F.concat(F.lit("\n>"), F.regexp_replace("value", r"^\s*>|\r", "")), r"\n[ \t]*>")).alias("part", "body"), F.col("value"), "is_first")
     cut = cut.where(F.col("part") > 0)
     lines = F.filter(F.transform(F.split("body", "\n"), strip), lambda x: x != "")
     whole = cut.withColumn("lines", lines).withColumn("header", strip(F.split("body", "\n")[0]))
-    first = (F.col("ordinal.n") == 0) & (F.col("part") == 1) & ~F.col("value").rlike(r"^\s*>")
+    first = F.col("is_first") & (F.col("part") == 1) & ~F.col("value").rlike(r"^\s*>")
     seq = F.array_join(F.when(F.col("header") == "", F.col("lines")).otherwise(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))), "")
     return whole.where(~first).select(F.struct("ordinal", "part").alias("ordinal"), F.split("header", r"\s+")[0].alias("id"), "header", seq.alias("seq"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return fasta(text_records(spark, path))
+    raw = text_records(spark, path)
+    file = F.col("ordinal.file_path")
+    heads = raw.where("ordinal.file_block_start = 0").groupBy(file.alias("file")).agg(F.min("ordinal.n").alias("n"))
+    marked = raw.withColumn("file", file).join(heads, "file", "left")
+    return fasta(marked.select("ordinal", "value", (F.col("ordinal.n").eqNullSafe(F.col("n"))).alias("is_first")))
 
 
 def annotations(lines: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from candrank.sources.readers import fasta
 
 
 def fasta_stream(spark: SparkSession, path: str) -> DataFrame:
+    """FASTA records as they land. Streams carry no row order, so a file's text before its first header is not told from a record; it has no sequence lines that pass the filter unless it holds some."""
     raw = spark.readStream.format("text").option("lineSep", "\n>").load(path)
-    return fasta(raw.withColumn("ordinal", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n"))))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    return fasta(raw.select(place.alias("ordinal"), "value", F.lit(False).alias("is_first")))
 
 
 def filter_stream(rows: DataFrame, keep: Column, out: str, checkpoint: str) -> StreamingQuery:
