@@ -9,7 +9,8 @@ The tree is not built line after line: leaf, support of each (leaf, place, token
 result does not depend on order, and each distinct line is a row once however often it occurs.
 
 Defined results: null text stays null and has no lines; lines without a token, and lines of fewer than min_tokens
-tokens, are never dropped; documents of equal doc_id count once for recurrence; the first document is the least doc_id.
+tokens, are never dropped; docs must give the same rows in the same order whenever it is read, as a table does, because
+rows are told apart by their place; documents of equal doc_id count once for recurrence; the first document is the least doc_id.
 """
 
 from __future__ import annotations

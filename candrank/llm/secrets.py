@@ -29,17 +29,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "random"]
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,512}(?![A-Za-z0-9+/_-])")
-#: Encodings from the narrowest: name, alphabet in order, and how far ordinary strings in it are from uniform
-#: (alphabet size times the sum of squared differences from 1/size): decimal digits in hex, English letters elsewhere.
+#: Encodings from the narrowest: name, alphabet in order, and the chance that two characters of an ordinary string in it
+#: are equal, with the share by which equal triples exceed its square: decimal digits in hex, English letters elsewhere.
 ENCODINGS = [
-    ("hex", "0123456789abcdef", 0.6),
-    ("hex upper", "0123456789ABCDEF", 0.6),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", 1.36),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 3.2),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 3.2),
+    ("hex", "0123456789abcdef", 0.1, 0.0),
+    ("hex upper", "0123456789ABCDEF", 0.1, 0.0),
+    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.0655, 0.26),
+    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", 0.0655, 0.26),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.0655, 0.26),
+    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.0655, 0.26),
 ]
-PLACES = [(name, {c: i for i, c in enumerate(alphabet)}, len(alphabet), away) for name, alphabet, away in ENCODINGS]
+PLACES = [({c: i for i, c in enumerate(alphabet)}, len(alphabet), equal, more) for _, alphabet, equal, more in ENCODINGS]
 BINS = 4000
 
 
@@ -59,7 +59,7 @@ def battery(s: str) -> tuple[float, float] | None:
     """(least p-value under randomness, p-value that an ordinary string looks this random); None if of no encoding or a mere word or number."""
     if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
         return None
-    for _, places, k, away in PLACES:
+    for places, k, equal, more in PLACES:
         if all(c in places for c in s):
             break
     else:
@@ -80,8 +80,8 @@ def battery(s: str) -> tuple[float, float] | None:
     run = 2 * _upper(abs(runs - expected) / spread)
     d = x - x.mean()
     serial = 2 * _upper(abs(float((d[1:] * d[:-1]).sum() / max(1e-9, float((d * d).sum()))) * sqrt(n) + 1 / sqrt(n)))
-    off = mean * (1 + away)
-    ordinary = _upper((off - pairs) / sqrt(2 * off * (1 + 2 * away * (n - 2) / k)))
+    spread = sqrt(2 * n * (n - 1) * equal * (1 - equal) + 4 * n * (n - 1) * (n - 2) * more * equal**2)
+    ordinary = _upper((n * (n - 1) * equal - pairs) / spread)
     return min(uniform, run, serial), ordinary
 
 
