@@ -277,3 +277,48 @@ def test_stream_restarts_without_repeats(spark, tmp_path):
     (tmp_path / "in" / "b.fa").write_text(">y\n" + "acgu" * 200 + "\n")
     filter_fasta_stream(spark, source, out, check).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["x", "y"]
+
+
+def test_metadata_wide_or_narrow(spark, tmp_path):
+    from candrank.sources.metadata import fastq_plan, run_metadata
+
+    (tmp_path / "m.tsv").write_text("run_accession\tfastq_ftp\tread_count\nR1\th/a;h/b\t12\nR1\tother\tx\n")
+    df = run_metadata(spark, str(tmp_path / "m.tsv"))
+    assert rows(df, "run_accession", "read_count", "fastq_md5") == [("R1", 12, None)]
+    assert rows(fastq_plan(df), "url") == [("https://h/a",), ("https://h/b",)]
+    (tmp_path / "e.tsv").write_text("run_accession\n")
+    with pytest.raises(ValueError):
+        run_metadata(spark, str(tmp_path / "e.tsv"))
+
+
+def test_homologs(spark):
+    from candrank.operators.homologs import bundles, homolog_lists, retrieved
+
+    hits = spark.createDataFrame([("q", "b", 1), ("q", "b", 2), ("q", "a", 3), ("q", "c", 4), ("", "x", 0)], "qseqid string, saccver string, ordinal int")
+    queries = spark.createDataFrame([("q", "MM"), ("r 1", "KK")], "id string, seq string")
+    assert {r.id: r.subjects for r in homolog_lists(hits, queries, 2).collect()} == {"q": ["b", "a"], "r 1": []}
+    made = bundles(queries, dedup.top_n_distinct(hits.where("qseqid <> ''"), "qseqid", "saccver", 2, "ordinal"), spark.createDataFrame([("b", "b x", "LL")], "id string, header string, seq string"))
+    assert rows(made, "query", "header") == [("q", "b x"), ("q", "q|CANDIDATE"), ("r_1", "r 1|CANDIDATE")]
+    assert rows(retrieved(made)) == [("q", 1), ("r_1", 0)]
+
+
+def test_reports_and_constants(spark, tmp_path):
+    from candrank.operators.report import flag_counts, headline, output_manifest, ranked_report
+    from candrank.sources import constants
+
+    df = spark.createDataFrame([("a", True, 30.0, 80.0, 100), ("b", True, None, None, 90), ("c", False, 1.0, 2.0, 3)], "q string, high_interest_screen boolean, pident double, palm_score double, aa_length int")
+    assert [(r["rank"], r.q, r.pident) for r in ranked_report(df, 2, ["q", "pident"], "q").orderBy("rank").collect()] == [(1, "b", "NA"), (2, "a", "30.0")]
+    assert tuple(headline(df, df).first()) == (3, 3, 2)
+    f = flag_counts(spark.createDataFrame([("r", 3), ("r", 2048)], "run string, flag int"), "run").first()
+    assert (f.total, f.proper, f.supplementary, f.unmapped) == (2, 1, 1, 0)
+    writers.write_table(df, str(tmp_path / "t"), one_file=True)
+    assert output_manifest(spark, str(tmp_path / "t"), str(tmp_path / "m")).count() >= 1
+    assert constants.targets(spark).select("label").distinct().count() == 8 and constants.fallback_runs(spark).count() == 3
+
+
+def test_json_documents_skip_broken_ones(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"accession": "A",\n "n": {"x": 1}}')
+    (tmp_path / "b.json").write_text('{"accession": ')
+    assert rows(readers.json_documents(spark, str(tmp_path), "accession string, n map<string,int>"), "accession") == [("A",)]
+    keyed = readers.keyed_json(spark.createDataFrame([('{"L2": {"m": ["a"]}, "L1": {"m": []}}',)], "value string"), "struct<m:array<string>>", "lineage")
+    assert [(r.lineage, r.m) for r in keyed.orderBy("position").collect()] == [("L2", ["a"]), ("L1", [])]
