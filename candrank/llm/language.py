@@ -11,7 +11,6 @@ learned; ties go to the language that sorts first; equal rows give equal rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from candrank.llm.common import held_out, id_and_text, map_texts, table
 
 GRAMS = 1 << 16
-LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 1 << 21
 SLICE = 1 << 20
 
@@ -125,7 +123,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def predict(texts: list[str]) -> dict:
         pred, score, shares = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-        todo = [i for i, t in enumerate(texts) if langs and LETTER.search(t)]
+        todo = [i for i, t in enumerate(texts) if langs and any(map(str.isalpha, t))]
         data = [f" {texts[i].lower()} ".encode() for i in todo]
         a = 0
         while a < len(todo):

@@ -17,7 +17,7 @@ def test_held_out_accuracy(spark):
 def test_mixtures_and_edge_rows(spark):
     en, fr = "the quick brown fox jumps over the lazy dog and then it was gone ", "le renard brun saute par dessus le chien et puis il est parti vers la "
     base = [(i, en * 5, "en", "s") for i in range(100, 130)] + [(i, fr * 5, "fr", "s") for i in range(130, 160)]
-    got = {r.doc_id: r for r in identify(documents(spark, base + ROWS + [(900, en * 20 + fr * 20, None, None), (901, en * 3, None, None), (902, "12 !!", None, None)])).collect()}
+    got = {r.doc_id: r for r in identify(documents(spark, base + ROWS + [(900, en * 20 + fr * 20, None, None), (901, en * 3, None, None), (902, "12 !! ½", None, None)])).collect()}
     assert got[901].lang_pred == "en" and {x.lang for x in got[901].languages} == {"en"}
     assert {x.lang for x in got[900].languages} == {"en", "fr"} and 0.3 < got[900].score < 0.7
     assert {got[i].lang_pred for i in (2, 3, 4, 902)} == {"und"} and got[2].score == 0.0
