@@ -66,7 +66,7 @@ def depth_from_intervals(intervals: DataFrame) -> DataFrame:
     return swept.where("`end` IS NOT NULL AND depth > 0")
 
 
-def read_counts(alignments: DataFrame, flag: Column, mapq: Column, least: int = 20) -> list[Column]:
+def read_counts(flag: Column, mapq: Column, least: int = 20) -> list[Column]:
     """Aggregates of one pass: primary, well-mapped and properly paired primary alignments."""
     primary = lacks_flags(flag, NOT_PRIMARY)
     return [F.count_if(primary).alias("mapped_primary"), F.count_if(primary & (mapq >= least)).alias("mapped_mapq20"), F.count_if(primary & has_flags(flag, PROPER)).alias("proper_pair_primary")]

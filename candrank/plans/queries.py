@@ -180,7 +180,7 @@ def depth_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def read_counts(spark: SparkSession, d: str) -> DataFrame:
     flag, mapq = (F.col("event_id") % 4096), (F.col("event_id") % 61)
-    return t(spark, d, "events").groupBy(F.col("user_id").alias("reference")).agg(F.count("*").alias("reads"), *depth.read_counts(None, flag, mapq))
+    return t(spark, d, "events").groupBy(F.col("user_id").alias("reference")).agg(F.count("*").alias("reads"), *depth.read_counts(flag, mapq))
 
 
 def _support(spark: SparkSession, d: str) -> DataFrame:
