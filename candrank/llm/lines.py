@@ -46,13 +46,15 @@ def _leaf(tokens: Column, depth: int) -> Column:
 
 def templates(docs: DataFrame, params: TemplateParams) -> DataFrame:
     """(line, template): hashes of masked lines in leaves that enough documents reach, with the template's hash."""
-    each = F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), masked))).alias("line")
-    counted = docs.select(each).groupBy("line").agg(F.count("*").alias("documents"))
-    tokens = F.split("line", " ", -1)
-    counted = counted.select("line", "documents", tokens.alias("tokens")).where(F.size("tokens") >= params.min_tokens)
-    counted = counted.select(_leaf(F.col("tokens"), params.depth).alias("leaf"), F.xxhash64("line").alias("line"), "tokens", "documents")
-    reached = counted.groupBy("leaf").agg(F.sum("documents").alias("n")).where(F.col("n") >= params.min_documents).select("leaf")
-    near = materialize(counted.join(reached, "leaf"), "leaf-lines")
+    each = F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), masked))).alias("words")
+    tokens = F.split("words", " ", -1)
+    lines = docs.select(each).where(F.size(tokens) >= params.min_tokens).select(_leaf(tokens, params.depth).alias("leaf"), "words")
+    # Leaves are counted as hashes first. Then text is shuffled once, to the leaves that enough documents reach: the text of
+    # all distinct lines, and arrays of their tokens, would take several times the room. Grouping by the words, not the leaf,
+    # leaves Spark free to split a hot leaf.
+    reached = materialize(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_documents).select("leaf"), "leaves")
+    kept = lines.join(reached, "leaf").groupBy("words").agg(F.min("leaf").alias("leaf"), F.count("*").alias("documents"))
+    near = materialize(kept.select("leaf", F.xxhash64("words").alias("line"), tokens.alias("tokens"), "documents"), "leaf-lines")
     placed = near.select("leaf", "line", "documents", F.posexplode("tokens").alias("place", "token"))
     support = placed.where(F.col("place") >= params.depth).groupBy("leaf", "place", "token").agg(F.sum("documents").alias("n"))
     common = support.where((F.col("n") >= params.min_documents) & (F.col("token") != FIELD)).select("leaf", "place", "token")
