@@ -145,8 +145,8 @@ def pair_enumeration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_score_strong(spark: SparkSession, d: str) -> DataFrame:
-    """Short conversation turns of equal opening, aligned pairwise across conversations: identity, coverage and strong flag."""
-    turns = t(spark, d, "conversations").where(F.col("text").isNotNull()).select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), F.lower(F.substring("text", 1, 4)).alias("opening"))
+    """Conversation turns of equal opening, aligned pairwise across conversations: identity, coverage and strong flag."""
+    turns = t(spark, d, "conversations").where(F.col("text").isNotNull()).select("conv_id", "turn", "text", F.lower(F.substring("text", 1, 4)).alias("opening"))
     first = dedup.first_by(turns, ["opening", "conv_id"], "turn", "text")
     rank = F.row_number().over(Window.partitionBy("opening").orderBy("conv_id"))
     near = first.withColumn("k", rank)
