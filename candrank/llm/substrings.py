@@ -9,11 +9,13 @@ Burrows-Wheeler transform does, and carries the common prefixes along; windows w
 length are equal, and the extension stops when a window would no longer hold the anchor.
 
 Defined results: null text is empty; documents are ordered by doc_id, null first, and rows that repeat a doc_id by the
-order in which they are read, as different documents; strings never cross documents.
+order in which they are read, as different documents; docs must give the same rows in the same order whenever it is
+read, as a table does; strings never cross documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ from candrank.llm.common import id_and_text, materialize, table
 LENGTH = 100
 ANCHOR = 36
 CHUNK = 1 << 21
+#: Contexts of one anchor that one task solves; anchors with more go another, equally exact way.
+MOST = 100_000
 LEAST = -(1 << 63)
 PLACE = np.uint64((1 << 24) - 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -98,7 +102,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
 
 
 def occurrences(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """(key, context, doc, row, first, shape): anchors of docs (doc, row, text); shape packs windows and anchor offset."""
+    """(key, context, doc, row, place): anchors of docs (doc, row, text); place packs the first window's start, the number of windows and the anchor's offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,11 +115,11 @@ def occurrences(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataF
                 index = pa.array(np.array(rows, dtype=np.int64)[part])
                 start = first - begin[part] + np.array(offsets, dtype=np.int64)[part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), batch.column("doc").take(index), batch.column("row").take(index), pa.array(start), pa.array((count * 256 + at - first).astype(np.int32))],
-                    names=["key", "context", "doc", "row", "first", "shape"],
+                    [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), batch.column("doc").take(index), batch.column("row").take(index), pa.array((start << 16) | (count << 8) | (at - first))],
+                    names=["key", "context", "doc", "row", "place"],
                 )
 
-    return docs.select("doc", "row", "text").mapInArrow(run, "key bigint, context bigint, doc bigint, row bigint, first bigint, shape int")
+    return docs.select("doc", "row", "text").mapInArrow(run, "key bigint, context bigint, doc bigint, row bigint, place bigint")
 
 
 def expand(key: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, left: list[bytes], right: list[bytes], length: int, k: int) -> np.ndarray:
@@ -198,20 +202,43 @@ def _expanded(length: int, k: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+def window_ranges(contexts: DataFrame, length: int) -> DataFrame:
+    """The same ranges for contexts (doc, row, at, left, right) too many for one task: windows as digests, grouped by Spark."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, start, digest = [], [], []
+            for i, (at, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "left", "right")))):
+                b = left + right
+                for p in range(min(len(left), len(b) - length) + 1):
+                    index.append(i), start.append(at - len(left) + p), digest.append(hashlib.blake2b(b[p : p + length], digest_size=16).digest())  # noqa: B018
+            index = pa.array(index, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digest, pa.binary()), batch.column("doc").take(index), batch.column("row").take(index), pa.array(start, pa.int64())], names=["digest", "doc", "row", "from"]
+            )
+
+    each = materialize(contexts.mapInArrow(windows, "digest binary, doc bigint, row bigint, `from` bigint").distinct(), "windows")
+    first = each.groupBy("digest").agg(F.min(F.struct("doc", "row", "from")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = each.join(materialize(first.select("digest", "first"), "first-windows"), "digest").where(F.struct("doc", "row", "from") > F.col("first"))
+    return later.select("row", "from", (F.col("from") + length).alias("to"))
+
+
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(row, from, to): byte ranges of docs (doc, row, text) that are covered by strings that occur earlier; they may overlap."""
     found = occurrences(docs, length, k)
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written, so that both sides of the next join come straight from a shuffle, whose hot keys Spark can split.
+    twice = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     found = materialize(found.join(twice, "key"), "occurrences")
-    least = F.min(F.struct("doc", "row", "first", "shape")).alias("least")
+    least = F.min(F.struct("doc", "row", "place")).alias("least")
     contexts = materialize(found.groupBy("key", "context").agg(least, F.count("*").alias("n")), "contexts")
-    copied = contexts.where("n > 1").select("key", "context", F.col("least.doc").alias("d"), F.col("least.row").alias("r"), F.col("least.first").alias("f"))
-    later = (F.col("row") != F.col("r")) | (F.col("first") != F.col("f"))
-    windows = F.floor(F.col("shape") / 256)
-    whole = found.join(copied, ["key", "context"]).where(later).select("row", F.col("first").alias("from"), (F.col("first") + windows + length - 1).alias("to"))
-    many = contexts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    open_ = contexts.join(many, "key").select("key", F.col("least.row").alias("row"), (F.col("least.first") + F.col("least.shape") % 256).alias("at"))
-    wanted = open_.groupBy("row").agg(F.collect_list(F.struct("key", "at")).alias("wanted"))
+    copied = contexts.where("n > 1").select("key", "context", F.col("least.row").alias("r"), F.col("least.place").alias("p"))
+    later = (F.col("row") != F.col("r")) | (F.col("place") != F.col("p"))
+    first, windows, offset = (lambda c: F.shiftright(c, 16)), (lambda c: F.shiftright(c, 8).bitwiseAND(255)), (lambda c: c.bitwiseAND(255))
+    place = F.col("place")
+    whole = found.join(copied, ["key", "context"]).where(later).select("row", first(place).alias("from"), (first(place) + windows(place) + length - 1).alias("to"))
+    many = materialize(contexts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "open-keys")
+    place = F.col("least.place")
+    open_ = contexts.join(many, "key").select("key", "c", F.col("least.row").alias("row"), (first(place) + offset(place)).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,16 +255,23 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
                 names=["key", "doc", "row", "at", "left", "right"],
             )
 
-    bytes_ = docs.join(wanted, "row").select("doc", "row", "text", "wanted").mapInArrow(cut, "key bigint, doc bigint, row bigint, at bigint, left binary, right binary")
-    parts = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(_expanded(length, k), "row bigint, `from` bigint, `to` bigint")
-    return whole.unionByName(parts)
+    def bytes_of(places: DataFrame) -> DataFrame:
+        wanted = places.groupBy("row").agg(F.collect_list(F.struct("key", "at")).alias("wanted"))
+        rows = docs.join(wanted, "row").select("doc", "row", "text", "wanted")
+        return rows.mapInArrow(cut, "key bigint, doc bigint, row bigint, at bigint, left binary, right binary")
+
+    parts = bytes_of(open_.where(F.col("c") <= most)).repartition("key").sortWithinPartitions("key").mapInArrow(_expanded(length, k), "row bigint, `from` bigint, `to` bigint")
+    out = whole.unionByName(parts)
+    if not many.where(F.col("c") > most).isEmpty():
+        out = out.unionByName(window_ranges(bytes_of(open_.where(F.col("c") > most)), length))
+    return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
     rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
     ordered = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), "row", "text")
-    ranges = repeated_ranges(ordered, length, k).groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    ranges = repeated_ranges(ordered, length, k, most).groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

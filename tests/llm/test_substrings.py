@@ -35,8 +35,8 @@ def test_query_on_documents(spark):
     assert got(docs) == plain(sorted(docs.select("doc_id", "text").collect()))
 
 
-@pytest.mark.parametrize("chunk", [1 << 21, 400])
-def test_overlaps_runs_and_zero_bytes(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,most", [(1 << 21, 100_000), (400, 100_000), (1 << 21, 3)])
+def test_overlaps_runs_and_zero_bytes(spark, monkeypatch, chunk, most):
     monkeypatch.setattr(substrings, "CHUNK", chunk)
     monkeypatch.setattr(substrings, "_powers", {})
     rnd = random.Random(7)
@@ -45,7 +45,7 @@ def test_overlaps_runs_and_zero_bytes(spark, monkeypatch, chunk):
     rows = [(i, "".join(rnd.choice([*pool, rnd.choice(words) * 40, "".join(rnd.choice(words) for _ in range(30))]) for _ in range(rnd.randint(0, 6)))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     df = materialize(df, "overlaps")
-    assert got(df, length=50, k=18) == plain(rows, 50)
+    assert got(df, length=50, k=18, most=most) == plain(rows, 50)
 
 
 def test_edge_rows(spark):
