@@ -25,12 +25,13 @@ CHUNK = 1 << 21
 SLICE = 1 << 20
 
 
-def trigrams(x: np.ndarray) -> np.ndarray:
-    """A bucket for each byte position, from it and the two bytes before."""
+def trigrams(x: np.ndarray, starts: np.ndarray = np.zeros(1, dtype=np.int64)) -> np.ndarray:
+    """A bucket for each byte position, from it and the two bytes before; texts of two bytes or more begin at starts and share nothing."""
     y = x.astype(np.uint32)
-    code = y * np.uint32(83492791)
-    code[1:] ^= y[:-1] * np.uint32(19349663)
-    code[2:] ^= y[:-2] * np.uint32(73856093)
+    one, two = np.roll(y, 1), np.roll(y, 2)
+    one[starts] = 0
+    two[starts] = two[starts + 1] = 0
+    code = y * np.uint32(83492791) ^ one * np.uint32(19349663) ^ two * np.uint32(73856093)
     return (code ^ (code >> np.uint32(15))) & np.uint32(GRAMS - 1)
 
 
@@ -67,16 +68,27 @@ def fit_languages(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * GRAMS)).astype(np.float32)
 
 
-def word_likelihoods(x: np.ndarray, table_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte of each word, log-likelihood of each word by language); a word goes with the blanks before it."""
+def word_likelihoods(x: np.ndarray, table_: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each word, log-likelihood of each word by language); texts begin at starts.
+
+    A word goes with the blanks before it, blanks that end a text with its last word, and no word goes over two texts.
+    """
     blank = x <= 32
-    first = np.flatnonzero(np.concatenate([[True], blank[1:] & ~blank[:-1]]))
+    opens = np.concatenate([[True], blank[1:] & ~blank[:-1]])
+    opens[starts] = True
+    first = np.flatnonzero(opens)
+    full = np.add.reduceat(~blank, first, dtype=np.int64) > 0
+    first = first[full | np.isin(first, starts, assume_unique=True)]
     out = np.zeros((len(first), table_.shape[1]), dtype=np.float64)
-    codes = trigrams(x)
-    for a in range(0, len(x), SLICE):
+    codes = trigrams(x, starts)
+    a = 0
+    while a < len(x):  # slices end where a text does, if one does, so that sums are those of the text alone
         b = min(len(x), a + SLICE)
+        if b < len(x) and (last := starts[np.searchsorted(starts, b, side="right") - 1]) > a:
+            b = int(last)
         lo, hi = np.searchsorted(first, a, side="right") - 1, np.searchsorted(first, b, side="left")
         out[lo:hi] += np.add.reduceat(table_[codes[a:b]], np.maximum(first[lo:hi], a) - a, axis=0)
+        a = b
     return first, out
 
 
@@ -97,8 +109,8 @@ def mixtures(like: np.ndarray, begin: np.ndarray, allowed: np.ndarray, rounds: i
 def infer(texts: list[bytes], table_: np.ndarray, most: int = 3, penalty: float = 2.0) -> np.ndarray:
     """Shares of each text: the best set of 1 to `most` languages by likelihood less penalty * log(words) a language."""
     x = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    first, like = word_likelihoods(x, table_)
     starts = np.cumsum([0, *map(len, texts[:-1])])
+    first, like = word_likelihoods(x, table_, starts)
     begin = np.searchsorted(first, starts)
     sizes = np.diff(np.append(begin, len(like)))
     n_langs = table_.shape[1]

@@ -1,6 +1,9 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from candrank.llm.language import identify
+from candrank.llm import language
+from candrank.llm.language import GRAMS, identify, infer, trigrams
 from candrank.llm.registry import QUERIES
 from tests.llm.edge import ROWS, documents
 
@@ -24,3 +27,16 @@ def test_mixtures_and_edge_rows(spark):
     assert len(got) == len({i for i, *_ in ROWS}) + 63
     assert {r.lang_pred for r in identify(documents(spark, [(4, "words here", None, None)])).collect()} == {"und"}
     assert identify(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("slice_", [1 << 20, 64])
+def test_each_text_of_a_batch_is_scored_alone(monkeypatch, slice_):
+    monkeypatch.setattr(language, "SLICE", slice_)
+    made = {"en": "the quick brown fox jumps over the lazy dog ", "fr": "le renard brun saute par dessus le chien ", "ja": "これは日本語の文章です。狐が犬を飛び越えます。"}
+    n = np.stack([np.bincount(trigrams(np.frombuffer(f" {t * 4} ".encode(), dtype=np.uint8)), minlength=GRAMS) for t in made.values()], axis=1)
+    likelihoods = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * GRAMS)).astype(np.float32)
+    want = [("fox", 0), ("chien", 1), (made["ja"] * 9, 2), ("jumps", 0), ("狐が犬を飛び越えます", 2), ("dessus", 1), (made["en"] * 9, 0), (" \n renard  \n", 1), ("quick brown", 0), (made["fr"], 1)]
+    texts = [f" {t} ".encode() for t, _ in want]
+    together = infer(texts, likelihoods)
+    assert together.argmax(axis=1).tolist() == [k for _, k in want]
+    assert np.array_equal(together, np.concatenate([infer([t], likelihoods) for t in texts]))
