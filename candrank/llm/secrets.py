@@ -3,7 +3,7 @@
 Base spans are the fixed patterns. The method adds spans: candidate strings without blanks get an inferred encoding;
 chi-squared uniformity over its alphabet, a runs test about the middle of the alphabet and lag-one serial correlation
 must all accept randomness. How likely an ordinary string of that encoding and length passes is its second p-value
-(length-aware: evidence against ordinary text grows with length), and a Benjamini-Hochberg threshold over the p-values
+(length-aware: evidence against ordinary text grows with length; candidates have 16 characters or more and no longest length), and a Benjamini-Hochberg threshold over the p-values
 of all candidates of the corpus, taken from a histogram of fixed size, controls false discoveries.
 
 Defined results: null or empty text has no spans; offsets are code points; a span found by the method that overlaps a
@@ -28,7 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "random"]
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,512}(?![A-Za-z0-9+/_-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-])")
 #: Encodings from the narrowest: name, alphabet in order, and the chance that two characters of an ordinary string in it
 #: are equal, with the share by which equal triples exceed its square: decimal digits in hex, English letters elsewhere.
 ENCODINGS = [

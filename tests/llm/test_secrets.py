@@ -53,6 +53,19 @@ def test_planted_random_strings_are_found(spark):
     assert sum(bool(got[i]) for i in range(40)) >= 32 and not any(got[100 + i] for i in range(40))
 
 
+def test_keys_of_any_length_are_found_and_redacted(spark):
+    rnd = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rnd.choice(chars) for _ in range(n)) for n in (512, 513, 2000, 50_000) for _ in range(10)]
+    docs = documents(spark, [(i, f"see {k} end", "en", "s") for i, k in enumerate(keys)] + [(900, "thequickbrownfoxjumps9over" * 100, "en", "s")])
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_spans(docs).collect()}
+    texts = {r.doc_id: r.text for r in redact(docs).collect()}
+    for at in range(0, len(keys), 10):  # each test refuses a hundredth of random strings
+        hit = [i for i in range(at, at + 10) if got[i] == [(4, 3, 4 + len(keys[i]))]]
+        assert len(hit) >= 8 and all(texts[i] == "see [SECRET] end" for i in hit)
+    assert got[900] == []
+
+
 def test_edge_rows_and_redaction(spark):
     got = sorted((r.doc_id or -1, len(r.spans)) for r in secret_spans(documents(spark)).collect())
     assert got == sorted((i or -1, len(plain(t))) for i, t, *_ in ROWS)
