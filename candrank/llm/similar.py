@@ -1,0 +1,108 @@
+"""Near copies by true similarity: no two documents that stay share 0.8 or more of their five-word shingles (Jaccard).
+
+Candidates come from prefixes: in any one order of all shingles, two sets of similarity 0.8 share a shingle among the
+first n - ceil(0.8 n) + 1 of each, so no pair is missed. The order is by counts of hashed shingles, rare ones first, which
+keeps common passages out of prefixes; its errors cost time, not pairs. Where documents share a shingle, all are compared
+with the least of them for some rounds, which takes large groups of copies away in linear time; the rest is compared in pairs.
+
+Defined results: a document goes if it is so similar to one of lesser doc_id (null last, then by row), also if that one
+goes too; shingles are told apart by XXH64; text without a word is similar to nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from candrank.llm.common import materialize
+from candrank.llm.simhash import SEED
+
+SHINGLE, CELLS, ROUNDS = 5, 1 << 16, 8
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct XXH64 of the runs of five words, or of all words if fewer; words as in simhash."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
+    stops = ends[SHINGLE - 1 :].tolist() if len(words) >= SHINGLE else [len(joined)]
+    starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(stops)))
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
+
+
+def shingle_counts(rows: DataFrame) -> np.ndarray:
+    """Documents by the leading bits of their shingles' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                n += np.bincount((shingles(t) >> np.uint64(48)).astype(np.int64), minlength=CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["cell", "n"])
+
+    got = rows.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CELLS, dtype=np.int64)
+    out[got["cell"].to_numpy(dtype=np.int64)] = got["n"]
+    return out
+
+
+def _sets(rows: DataFrame, counts: np.ndarray | None = None) -> DataFrame:
+    """(row, n, keys): all shingles, or the prefix by counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            keys = found
+            if counts is not None:
+                keys = [h[np.lexsort((h, counts[(h >> np.uint64(48)).astype(np.int64)]))[: len(h) - (4 * len(h) + 4) // 5 + 1]] for h in found]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(h) for h in found], pa.int64()), _lists(keys)], names=["row", "n", "keys"])
+
+    return rows.select("row", "text").mapInArrow(run, "row bigint, n bigint, keys array<bigint>")
+
+
+def _similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row): right sides of pairs (a, b) of similarity 0.8 or more."""
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = materialize(_sets(rows.join(wanted, "row", "left_semi")), "sets")
+    a, b = (sets.select(F.col("row").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("keys_a", "keys_b"))
+    return pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.col("n_a") + F.col("n_b"))).select(F.col("b").alias("row")).distinct()
+
+
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """docs without near copies; columns stay."""
+    held = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = held.select(F.col("__row").alias("row"), "text")
+    prefixes = materialize(_sets(rows, shingle_counts(rows)), "prefixes")
+    entries = prefixes.select("row", "n", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    order = held.select(F.col("__row").alias("row"), F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("place"))
+    entries = materialize(entries.join(shared, "key").join(order, "row"), "entries")
+    near = 5 * F.least("n", "n_a") >= 4 * F.greatest("n", "n_a")
+    gone = []
+    for _ in range(ROUNDS):
+        total, work = entries.groupBy("key").agg(F.count("*").cast("double").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+        if not total or work <= 4 * total:
+            break
+        first = entries.groupBy("key").agg(F.min_by(F.struct("row", "n"), "place").alias("first")).select("key", F.col("first.row").alias("a"), F.col("first.n").alias("n_a"))
+        others = entries.join(first, "key").where("row <> a")
+        gone.append(materialize(_similar(rows, others.where(near).select("a", F.col("row").alias("b")).distinct()), "similar"))
+        entries = materialize(others.select(*entries.columns).join(gone[-1], "row", "left_anti"), "entries")
+    left = entries.select("key", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
+    pairs = entries.join(left, "key").where((F.col("place_a") < F.col("place")) & near).select("a", F.col("row").alias("b")).distinct()
+    gone.append(_similar(rows, pairs))
+    for x in gone:
+        held = held.join(x.withColumnRenamed("row", "__row"), "__row", "left_anti")
+    return held.select(*docs.columns)

@@ -1,4 +1,4 @@
-"""The corpus pipeline over documents: quality rules, line dedup, near duplicates, secrets, packing.
+"""The corpus pipeline over documents: quality rules, line dedup, near duplicates, similar documents, secrets, packing.
 
 Each stage is a Spark job that is written as Parquet and read again by the next. All but the last return the columns of
 documents; where a stage changes text, n_chars follows.
@@ -15,6 +15,7 @@ from candrank.llm.packing import pack
 from candrank.llm.quality import keep_good
 from candrank.llm.secrets import redact
 from candrank.llm.simhash import near_duplicates
+from candrank.llm.similar import drop_similar
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -39,6 +40,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(first, "__row", "left_semi").drop("__row")
 
 
+def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents left, none that stays shares 0.8 or more of its five-word shingles with another."""
+    return drop_similar(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; documents without one stay as they are."""
     return _counted(redact(docs))
@@ -49,7 +55,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality", quality), ("lines", lines), ("near", near), ("secrets", secrets), ("packing", packing)]
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("similar", similar), ("secrets", secrets), ("packing", packing)]
 #: SQL has no byte-pair encoding and no XXH64; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 

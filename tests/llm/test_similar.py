@@ -1,0 +1,60 @@
+import random
+
+import corpus_pipeline as P
+from candrank.llm.common import materialize
+from candrank.llm.similar import drop_similar
+from tests.llm.edge import ROWS, documents
+
+
+def cut(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def corpus():
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    passage, rows = [word() for _ in range(30)], []
+    for _ in range(30):  # edited copies, from equal to far
+        base = [word() for _ in range(120)]
+        for edits in range(6):
+            w = list(base)
+            for at in rnd.sample(range(len(w)), edits):
+                w[at] = word()
+            rows.append(" ".join(w))
+    rows += [" ".join(passage + [word() for _ in range(rnd.randint(1, 30))]) for _ in range(60)]  # one shared passage
+    base = [word() for _ in range(200)]
+    rows += [" ".join(base[:i] + [word()] + base[i + 1 :]) for i in range(200)]  # one large group
+    rnd.shuffle(rows)
+    return [(i, t, "en", "s") for i, t in enumerate(rows)]
+
+
+def test_what_stays_is_pairwise_dissimilar_and_what_goes_has_a_lesser_copy(spark):
+    rows = corpus()
+    out = drop_similar(documents(spark, rows))
+    assert out.columns == documents(spark, rows).columns
+    kept, sets = {r.doc_id for r in out.collect()}, [cut(t) for _, t, *_ in rows]
+    for i in range(len(rows)):
+        lesser = [j for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+        assert not (i in kept and kept.intersection(lesser)) and (i in kept or lesser)
+
+
+def test_edited_copies_leave_the_pipeline(spark):
+    """Similarity 0.8 to 1, which 4 bits of a fingerprint mostly miss."""
+    rows = corpus()
+    docs = documents(spark, rows)
+    for name, stage in P.STAGES:
+        if name in ("near", "similar"):
+            docs = materialize(stage(spark, docs, None), name)
+    left = [cut(r.text) for r in docs.collect()]
+    assert not any(similarity(a, b) >= 0.8 for i, a in enumerate(left) for b in left[:i])
+
+
+def test_edge_rows(spark):
+    got = [r.doc_id for r in drop_similar(documents(spark)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [i for i, *_ in ROWS if i not in (6, 7)] + [7]))
+    assert drop_similar(documents(spark, [])).count() == 0
