@@ -9,8 +9,8 @@ The tree is not built line after line: leaf, support of each (leaf, place, token
 result does not depend on order, and each distinct line is a row once however often it occurs.
 
 Defined results: null text stays null and has no lines; lines without a token, and lines of fewer than min_tokens
-tokens, are never dropped; docs must give the same rows in the same order whenever it is read, as a table does, because
-rows are told apart by their place; documents of equal doc_id count once for recurrence; the first document is the least doc_id.
+tokens, are never dropped; rows are told apart by doc_id and the hash of their text, never by their place in a scan, and
+rows equal in both lose the same lines; documents of equal doc_id count once for recurrence; the first document is the least doc_id.
 """
 
 from __future__ import annotations
@@ -66,21 +66,21 @@ def templates(docs: DataFrame, params: TemplateParams) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
-    """(row, places): the lines to drop from each row of docs (row, doc_id, text)."""
+    """(row, doc_id, places): the lines to drop from each row of docs (row, doc_id, text); rows may repeat."""
     lines = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     lines = lines.select("row", "doc_id", "place", F.xxhash64(masked(F.col("line"))).alias("line"))
     found = materialize(lines.join(templates(docs, params), "line").select("template", "row", "doc_id", "place"), "template-lines")
     pairs = found.groupBy("template", "doc_id").agg(F.lit(1).alias("one"))
     recurring = pairs.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= params.min_documents)
     gone = found.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return gone.groupBy("row").agg(F.collect_list("place").alias("places"))
+    return gone.groupBy("row", "doc_id").agg(F.collect_set("place").alias("places"))
 
 
 def drop_recurring(docs: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
     """docs with recurring lines dropped from text, and n_lines and n_dropped; all rows and columns stay."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    places = dropped_lines(rows.select(F.col("__row").alias("row"), "doc_id", "text"), params).withColumnRenamed("row", "__dropped_row").withColumnRenamed("places", "__places")
-    joined = rows.join(places, F.col("__row") == F.col("__dropped_row"), "left")
+    rows = docs.withColumn("__row", F.xxhash64("text"))
+    places = dropped_lines(rows.select(F.col("__row").alias("row"), "doc_id", "text"), params).select(F.col("row").alias("__dropped_row"), F.col("doc_id").alias("__dropped_id"), F.col("places").alias("__places"))
+    joined = rows.join(places, (F.col("__row") == F.col("__dropped_row")) & F.col("doc_id").eqNullSafe(F.col("__dropped_id")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__places", i)), "\n")
     gone = F.coalesce(F.size("__places"), F.lit(0))

@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the row of the least doc_id stays; rows of equal doc_id count as different rows."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # a later scan may deal rows otherwise
     found = near_duplicates(rows.select(F.struct("doc_id", "__row").alias("doc_id"), "text"))
     first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.__row").alias("__row"))
     return rows.join(first, "__row", "left_semi").drop("__row")
