@@ -1,16 +1,19 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line goes down the tree by its token count, then by its leading tokens (tokens with a digit are variable fields from
-the start). At the leaf, tokens at later places that too few documents share become variable fields, which gives the
-line's template. A template that recurs in enough documents, and of whose tokens enough are fixed, is boilerplate: its
-lines stay in the first document that has it and are dropped in all others.
+the start). At the leaf, tokens at later places that too few of its documents share become variable fields, which gives
+the line's template. A line that recurs as it is, or whose later places are fixed for the most part, belongs to a
+template; a template that recurs in enough documents is boilerplate: its lines stay in the first document that has it
+and are dropped in all others.
 
 The tree is not built line after line: leaf, support of each (leaf, place, token) and template are groupings, so the
-result does not depend on order, and each distinct line is a row once however often it occurs.
+result does not depend on order. Lines are masked once, in one scan, and written; all groupings read that table.
 
 Defined results: null text stays null and has no lines; lines without a token, and lines of fewer than min_tokens
 tokens, are never dropped; rows are told apart by doc_id and the hash of their text, never by their place in a scan, and
-rows equal in both lose the same lines; documents of equal doc_id count once for recurrence; the first document is the least doc_id.
+rows equal in both lose the same lines; documents of equal doc_id count once for recurrence; the first document is the
+least doc_id, null last. Masked lines are told apart by two 64-bit hashes, of the whole and of the leaf: with 10 billion
+different lines the chance that any two are mixed up is below one in a million.
 """
 
 from __future__ import annotations
@@ -28,10 +31,16 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class TemplateParams:
+    """min_documents: documents that a template, and a fixed token, recur in; leaf_share: least share of a leaf's lines for a
+    fixed token; fixed_share and min_fixed: fixed tokens among the places below the tree, for lines that do not recur as they are."""
+
     depth: int = 3
     min_documents: int = 5
     min_tokens: int = 3
     fixed_share: float = 0.6
+    min_fixed: int = 2
+    leaf_share: float = 0.2
+    salts: int = 16
 
 
 def masked(line: Column) -> Column:
@@ -44,55 +53,66 @@ def _leaf(tokens: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), *(F.get(tokens, i) for i in range(depth)))
 
 
-def templates(docs: DataFrame, params: TemplateParams) -> DataFrame:
-    """(line, template): hashes of masked lines in leaves that enough documents reach, with the template's hash."""
-    each = F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), masked))).alias("words")
+def _spread(df: DataFrame, salts: int) -> DataFrame:
+    """Each row once for each salt, so that a hot key of the other side is dealt to many tasks."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def masked_lines(docs: DataFrame, params: TemplateParams) -> DataFrame:
+    """(row, doc_id, place, leaf, line, words): the lines of enough tokens of docs (row, doc_id, text); written once."""
+    each = docs.select("row", "doc_id", F.posexplode(F.transform(F.split("text", "\n", -1), masked)).alias("place", "words"))
     tokens = F.split("words", " ", -1)
-    lines = docs.select(each).where(F.size(tokens) >= params.min_tokens).select(_leaf(tokens, params.depth).alias("leaf"), "words")
-    # Leaves are counted as hashes first. Then text is shuffled once, to the leaves that enough documents reach: the text of
-    # all distinct lines, and arrays of their tokens, would take several times the room. Grouping by the words, not the leaf,
-    # leaves Spark free to split a hot leaf.
-    reached = materialize(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_documents).select("leaf"), "leaves")
-    kept = lines.join(reached, "leaf").groupBy("words").agg(F.min("leaf").alias("leaf"), F.count("*").alias("documents"))
-    near = materialize(kept.select("leaf", F.xxhash64("words").alias("line"), tokens.alias("tokens"), "documents"), "leaf-lines")
-    placed = near.select("leaf", "line", "documents", F.posexplode("tokens").alias("place", "token"))
-    support = placed.where(F.col("place") >= params.depth).groupBy("leaf", "place", "token").agg(F.sum("documents").alias("n"))
-    common = support.where((F.col("n") >= params.min_documents) & (F.col("token") != FIELD)).select("leaf", "place", "token")
-    fixed = placed.join(common, ["leaf", "place", "token"], "left_semi").groupBy("line").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("fixed"))
-    head = F.slice("tokens", 1, params.depth)
-    rows = near.join(fixed, "line", "left").withColumn("fixed", F.coalesce("fixed", F.array().cast("array<struct<place:int,token:string>>")))
-    share = (F.size("fixed") + F.size(F.filter(head, lambda t: t != FIELD))) / F.size("tokens")
-    return rows.where(share >= params.fixed_share).select("line", F.xxhash64("leaf", "fixed").alias("template"))
+    found = each.select("row", "doc_id", "place", "words", tokens.alias("tokens")).where(F.size("tokens") >= params.min_tokens)
+    return materialize(found.select("row", "doc_id", "place", _leaf(F.col("tokens"), params.depth).alias("leaf"), F.xxhash64("words").alias("line"), "words"), "lines")
+
+
+def templates(lines: DataFrame, params: TemplateParams) -> DataFrame:
+    """(leaf, line, template): hashes of masked lines that belong to a template."""
+    counts = lines.groupBy("leaf", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf", "line").agg(F.count("*").alias("documents"))
+    counts = materialize(counts, "line-counts")  # no text yet; it is needed only of leaves that enough documents reach
+    reached = counts.groupBy("leaf").agg(F.sum("documents").alias("n")).where(F.col("n") >= params.min_documents)
+    wanted = materialize(counts.join(reached, "leaf"), "leaf-lines")
+    text = lines.select("leaf", "line", "words").join(reached.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("words").alias("words"))
+    near = materialize(wanted.join(text, ["leaf", "line"]).select("leaf", "line", "documents", "n", F.split("words", " ", -1).alias("tokens")), "leaf-tokens")
+    placed = near.select("leaf", "line", "documents", "n", F.posexplode("tokens").alias("place", "token")).where((F.col("place") >= params.depth) & (F.col("token") != FIELD))
+    enough = F.greatest(F.lit(params.min_documents), params.leaf_share * F.max("n"))
+    common = placed.groupBy("leaf", "place", "token").agg(F.sum("documents").alias("support"), enough.alias("enough")).where("support >= enough")
+    fixed = placed.join(common.select("leaf", "place", "token"), ["leaf", "place", "token"], "left_semi")
+    fixed = fixed.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("fixed"))
+    rows = near.join(fixed, ["leaf", "line"], "left").select("leaf", "line", "documents", (F.size("tokens") - params.depth).alias("below"), "fixed")
+    general = (F.size("fixed") >= params.min_fixed) & (F.size("fixed") >= params.fixed_share * F.col("below"))
+    template = F.when(general, F.xxhash64("leaf", "fixed")).when(F.col("documents") >= params.min_documents, F.xxhash64("leaf", "line", F.lit("as it is")))
+    return rows.select("leaf", "line", template.alias("template")).where("template IS NOT NULL")
 
 
 def dropped_lines(docs: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
     """(row, doc_id, places): the lines to drop from each row of docs (row, doc_id, text); rows may repeat."""
-    lines = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.select("row", "doc_id", "place", F.xxhash64(masked(F.col("line"))).alias("line"))
-    found = materialize(lines.join(templates(docs, params), "line").select("template", "row", "doc_id", "place"), "template-lines")
+    lines = masked_lines(docs, params)
+    narrow = lines.select("row", "doc_id", "place", "leaf", "line", F.pmod(F.xxhash64("row", "place"), F.lit(params.salts)).cast("int").alias("salt"))
+    found = materialize(narrow.join(_spread(templates(lines, params), params.salts), ["leaf", "line", "salt"]).select("template", "row", "doc_id", "place", "salt"), "template-lines")
     pairs = found.groupBy("template", "doc_id").agg(F.lit(1).alias("one"))
     recurring = pairs.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= params.min_documents)
-    gone = found.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    gone = found.join(_spread(recurring, params.salts), ["template", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return gone.groupBy("row", "doc_id").agg(F.collect_set("place").alias("places"))
 
 
-def drop_recurring(docs: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
-    """docs with recurring lines dropped from text, and n_lines and n_dropped; all rows and columns stay."""
-    rows = docs.withColumn("__row", F.xxhash64("text"))
-    places = dropped_lines(rows.select(F.col("__row").alias("row"), "doc_id", "text"), params).select(F.col("row").alias("__dropped_row"), F.col("doc_id").alias("__dropped_id"), F.col("places").alias("__places"))
-    joined = rows.join(places, (F.col("__row") == F.col("__dropped_row")) & F.col("doc_id").eqNullSafe(F.col("__dropped_id")), "left")
+def drop_recurring(docs: DataFrame, params: TemplateParams = TemplateParams(), counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with recurring lines dropped from text; all rows and columns stay. counts names two further columns: lines, and lines dropped."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), "doc_id", "text").withColumn("row", F.xxhash64("text"))
+    places = dropped_lines(rows.select("row", "doc_id", "text"), params).select(F.col("row").alias("other_row"), F.col("doc_id").alias("other_id"), "places")
+    joined = rows.join(places, (F.col("row") == F.col("other_row")) & F.col("doc_id").eqNullSafe(F.col("other_id")), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__places", i)), "\n")
-    gone = F.coalesce(F.size("__places"), F.lit(0))
-    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(kept)
-    old = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
-    return joined.select(*old, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), gone.cast("long").alias("__n_dropped"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n")
+    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)
+    old = [F.col("document").getField(c).alias(c) if c != "text" else text.alias("text") for c in docs.columns]
+    more = [F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size("places"), F.lit(0)).cast("long")]
+    return joined.select(*old, *(x.alias(name) for x, name in zip(more, counts or ())))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 (of the text that is left) for each document."""
-    out = drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP3_SQL = r"""
@@ -103,15 +123,17 @@ m AS (SELECT doc_id, place, line, regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>'
 t AS (SELECT *, string_split(masked, ' ') AS tokens FROM m),
 k AS (SELECT masked, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS documents FROM t WHERE len(tokens) >= 3 GROUP BY masked),
 f AS (SELECT *, {'n': len(tokens), 'a': tokens[1], 'b': tokens[2], 'c': tokens[3]} AS leaf FROM k),
-r AS (SELECT leaf FROM f GROUP BY leaf HAVING sum(documents) >= 5),
-n AS (SELECT f.* FROM f JOIN r ON f.leaf = r.leaf),
-p AS (SELECT leaf, masked, documents, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM n),
-s AS (SELECT leaf, place, token FROM p WHERE place > 3 AND token <> '<*>' GROUP BY leaf, place, token HAVING sum(documents) >= 5),
+r AS (SELECT leaf, sum(documents) AS total FROM f GROUP BY leaf HAVING sum(documents) >= 5),
+n AS (SELECT f.*, r.total FROM f JOIN r ON f.leaf = r.leaf),
+p AS (SELECT leaf, masked, documents, total, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM n),
+s AS (SELECT leaf, place, token FROM p WHERE place > 3 AND token <> '<*>' GROUP BY leaf, place, token
+  HAVING sum(documents) >= 5 AND 5 * sum(documents) >= max(total)),
 x AS (SELECT p.masked, count(*) AS fixed, string_agg(p.place || ':' || p.token, ' ' ORDER BY p.place) AS pattern
   FROM p JOIN s ON p.leaf = s.leaf AND p.place = s.place AND p.token = s.token GROUP BY p.masked),
-y AS (SELECT n.masked, n.leaf, coalesce(x.pattern, '') AS pattern FROM n LEFT JOIN x ON n.masked = x.masked
-  WHERE (coalesce(x.fixed, 0) + CAST(n.tokens[1] <> '<*>' AS INTEGER) + CAST(n.tokens[2] <> '<*>' AS INTEGER) + CAST(n.tokens[3] <> '<*>' AS INTEGER)) / len(n.tokens) >= 0.6),
-g AS (SELECT y.leaf, y.pattern, t.doc_id, t.place FROM t JOIN y ON t.masked = y.masked),
+y AS (SELECT n.masked, n.leaf, CASE WHEN x.fixed >= 2 AND 5 * x.fixed >= 3 * (len(n.tokens) - 3) THEN 'general ' || x.pattern
+    WHEN n.documents >= 5 THEN 'as it is ' || n.masked END AS pattern
+  FROM n LEFT JOIN x ON n.masked = x.masked),
+g AS (SELECT y.leaf, y.pattern, t.doc_id, t.place FROM t JOIN y ON t.masked = y.masked WHERE y.pattern IS NOT NULL),
 c AS (SELECT leaf, pattern, min(doc_id) AS first FROM g GROUP BY leaf, pattern HAVING count(DISTINCT doc_id) >= 5),
 d AS (SELECT DISTINCT g.doc_id, g.place FROM g JOIN c ON g.leaf = c.leaf AND g.pattern = c.pattern WHERE g.doc_id <> c.first)
 SELECT l.doc_id, count(*) AS n_lines, count(d.place) AS n_dropped,

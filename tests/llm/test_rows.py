@@ -22,9 +22,9 @@ def test_lines(spark, monkeypatch):
     import candrank.llm.lines as module
 
     docs = documents(spark, rows())
-    want = sorted((str(r.doc_id), r.text, r["__n_dropped"]) for r in drop_recurring(docs).collect())
+    want = sorted((str(r.doc_id), r.text, r["dropped"]) for r in drop_recurring(docs, counts=("lines", "dropped")).collect())
     monkeypatch.setattr(module.F, "monotonically_increasing_id", redealt)
-    assert sorted((str(r.doc_id), r.text, r["__n_dropped"]) for r in drop_recurring(docs).collect()) == want
+    assert sorted((str(r.doc_id), r.text, r["dropped"]) for r in drop_recurring(docs, counts=("lines", "dropped")).collect()) == want
     assert sum(n for _, _, n in want) == 2 * 11 + 1
 
 
