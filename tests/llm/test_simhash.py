@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from candrank.llm.registry import QUERIES
-from candrank.llm.simhash import connected_components, links, near_duplicates, simhash, trie_links
+from candrank.llm.simhash import budget, connected_components, links, near_duplicates, similar_documents, simhash, sketch, trie_links
 from tests.conftest import DATA
 from tests.llm.edge import ROWS, documents
 
@@ -75,3 +75,63 @@ def test_edge_rows(spark):
     assert got == sorted((str(i), plain(t), first[plain(t)]) for i, t, *_ in ROWS)
     assert near_duplicates(documents(spark, [])).count() == 0
     assert simhash("one two", 4) == plain("one two")
+
+
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def share(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def test_long_fingerprints_in_the_trie():
+    rnd = random.Random(6)
+    seeds = [rnd.getrandbits(256) for _ in range(9)]
+    fps = sorted({s ^ sum(1 << b for b in rnd.sample(range(256), rnd.randint(0, 30))) for s in seeds for _ in range(30)})
+    words = np.array([[f >> 64 * i & 2**64 - 1 for i in (3, 2, 1, 0)] for f in fps], dtype=np.uint64)
+    label = trie_links(words, np.array([0]), 48)
+    want = components(fps, 48)
+    assert len(set(zip(label.tolist(), want))) == len(set(want)) == len(set(label.tolist()))
+
+
+def test_a_large_bucket_is_cut_into_blocks(spark):
+    rnd = random.Random(2)
+    base = rnd.getrandbits(60)
+    fps = sorted({base ^ sum(1 << b for b in rnd.sample(range(30), rnd.randint(0, 6))) for _ in range(300)})
+    got = {r.node: r.root for r in connected_components(links(spark.createDataFrame([(x,) for x in fps], "fp long"), 4, block=20)).collect()}
+    want = components(fps)
+    assert len(set(zip([got.get(x, x) for x in fps], want))) == len(set(want)) == len({got.get(x, x) for x in fps})
+
+
+def test_similar_documents_are_linked(spark):
+    """Edits that leave a similarity of 0.8 or more; documents that share half of their text are not linked."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9)))
+    texts, same, apart = [], [], []
+    for _ in range(150):
+        words = [word() for _ in range(rnd.randint(60, 500))]
+        other = list(words)
+        while share(shingles(" ".join(words)), shingles(" ".join(other))) > 0.85:
+            other[rnd.randrange(len(other))] = word()
+        same.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(other)]
+    for _ in range(150):
+        half = [word() for _ in range(120)]
+        apart.append((len(texts), len(texts) + 1))
+        texts += [" ".join(half + [word() for _ in range(120)]) for _ in range(2)]
+    out = {r.doc_id: r.component_id for r in similar_documents(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    pairs = [(i, j) for i, j in same if share(shingles(texts[i]), shingles(texts[j])) >= 0.8]
+    assert len(pairs) > 100 and sum(out[i] == out[j] for i, j in pairs) >= 0.9 * len(pairs)
+    assert not any(out[i] == out[j] for i, j in apart)
+    assert 40 <= budget(0.8) <= 50 and len(sketch("", 5)[0]) == 32
+
+
+def test_edge_rows_of_similar_documents(spark):
+    got = sorted((str(r.doc_id), r.component_id) for r in similar_documents(documents(spark)).collect())
+    first = {}
+    for i, t, *_ in ROWS:
+        first.setdefault(" ".join((t or "").split()), i)
+    assert got == sorted((str(i), first[" ".join((t or "").split())]) for i, t, *_ in ROWS)
+    assert similar_documents(documents(spark, [])).count() == 0
