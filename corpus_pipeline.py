@@ -1,4 +1,4 @@
-"""The corpus pipeline over documents: quality rules, line dedup, near duplicates, similar documents, secrets, packing.
+"""The corpus pipeline over documents: quality rules, line dedup, near duplicates, secrets, packing.
 
 Each stage is a Spark job that is written as Parquet and read again by the next. All but the last return the columns of
 documents; where a stage changes text, n_chars follows.
@@ -14,8 +14,7 @@ from candrank.llm.lines import drop_recurring
 from candrank.llm.packing import pack
 from candrank.llm.quality import keep_good
 from candrank.llm.secrets import redact
-from candrank.llm.simhash import near_duplicates
-from candrank.llm.similar import drop_similar
+from candrank.llm.simhash import similar_documents
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -33,16 +32,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row of the least doc_id stays; rows of equal doc_id count as different rows."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # a later scan may deal rows otherwise
-    found = near_duplicates(rows.select(F.struct("doc_id", "__row").alias("doc_id"), "text"))
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.__row").alias("__row"))
-    return rows.join(first, "__row", "left_semi").drop("__row")
-
-
-def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents left, none that stays shares 0.8 or more of its five-word shingles with another."""
-    return drop_similar(docs)
+    """Of each component of documents that share 0.8 or more of their five-word shingles the row of the least doc_id stays; rows of equal doc_id count as different rows."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    rows = materialize(docs.select(whole, F.monotonically_increasing_id().alias("row")), "rows")  # a later scan may deal rows otherwise
+    found = similar_documents(rows.select(F.struct("document.doc_id", "row").alias("doc_id"), "document.text"))
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id.row")
+    return rows.join(first, "row", "left_semi").select("document.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality", quality), ("lines", lines), ("near", near), ("similar", similar), ("secrets", secrets), ("packing", packing)]
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("secrets", secrets), ("packing", packing)]
 #: SQL has no byte-pair encoding and no XXH64; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
