@@ -3,7 +3,7 @@ import random
 import re
 
 from candrank.llm.registry import QUERIES
-from candrank.llm.secrets import KINDS, battery, redact, secret_spans
+from candrank.llm.secrets import KINDS, BatteryParams, Ordinary, battery, neighbours, p_value, redact, secret_spans
 from tests.conftest import DATA
 from tests.llm.edge import ROWS, documents
 
@@ -34,15 +34,83 @@ def test_query_on_documents(spark):
         assert set(written.split(",")) <= set(r.spans.split(","))
 
 
+CORPUS = "It was the best of times and internationalization of the names in some ordinary words, 2019 of them. The quick brown fox jumps over it. " * 40
+B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def p_of(s, model=Ordinary.learn(neighbours(CORPUS), 0.1), params=BatteryParams()):
+    r = battery(s)
+    return 1.0 if r is None else p_value(s, *r, model, params)
+
+
 def test_battery_tells_random_from_ordinary():
     rnd = random.Random(2)
-    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    p = [battery("".join(rnd.choice(chars) for _ in range(40))) for _ in range(200)]
-    assert sum(x is not None and x[0] >= 0.01 and x[1] < 1e-3 for x in p) > 150
-    for word in ("internationalization2", "aaaaaaaaaaaaaaaaaaaaaaa1", "abababababababababab12", "thequickbrownfoxjumps9over"):
-        r = battery(word)
-        assert r is None or r[0] < 0.01 or r[1] > 1e-3
-    assert battery("abcdefghijklmnopqrst") is None and battery("1" * 30) is None
+    p = [p_of("".join(rnd.choice(B64) for _ in range(40))) for _ in range(200)]
+    assert sum(x < 1e-6 for x in p) > 180
+    words = ("internationalization2", "aaaaaaaaaaaaaaaaaaaaaaa1", "abababababababababab12", "thequickbrownfoxjumps9over", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "1" * 30, "4952935900253052", "THE_QUICK_BROWN_FOX_JUMPS", "getNamesOfOrdinaryWordsInTimes")
+    assert all(p_of(w) > 1e-3 for w in words)
+
+
+def test_counts_of_neighbours_and_pieces(monkeypatch):
+    import candrank.llm.secrets as module
+
+    text = "Ab1_é" * 50 + "A1b2c3d4e5f6g7h8i9 k"
+    want = {}
+    for x, y in zip(text.replace("A1b2c3d4e5f6g7h8i9", "....."), text.replace("A1b2c3d4e5f6g7h8i9", ".....")[1:]):
+        fold = lambda c: 31 if ord(c) > 127 or c in ". " else "abcdefghijklmnopqrstuvwxyz".index(c.lower()) if c.isalpha() else 26 if c.isdigit() else 29
+        want[fold(x), fold(y)] = want.get((fold(x), fold(y)), 0) + 1
+    for piece in (7, 1 << 20):
+        monkeypatch.setattr(module, "PIECE", piece)
+        got = neighbours(text)[:1024].reshape(32, 32)
+        got[31, 31], want[31, 31] = 0, 0
+        assert {(i, j): got[i, j] for i, j in zip(*got.nonzero())} == {k: v for k, v in want.items() if v}
+
+
+def test_keys_at_realistic_prevalence(spark):
+    """One key of 20 to 40 characters in a thousand strings: recall, and false discoveries among strings built of the corpus's own words."""
+    rnd = random.Random(8)
+    lower = "abcdefghijklmnopqrstuvwxyz0123456789"
+    words = sorted({w for t, in spark.read.parquet(f"{DATA}/documents.parquet").select("text").where("text IS NOT NULL").collect() for w in re.findall("[A-Za-z]{3,}", t)})
+
+    def name():
+        parts = [rnd.choice(words) for _ in range(rnd.randint(3, 6))]
+        s = rnd.choice([lambda: "_".join(parts).lower(), lambda: "-".join(parts), lambda: "".join(w.capitalize() for w in parts), lambda: "_".join(parts).upper(), lambda: "".join(parts).lower()])()
+        return s + (str(rnd.randrange(10 ** rnd.randint(1, 6))) if rnd.random() < 0.5 else "")
+
+    def key():
+        n = rnd.randint(20, 40)
+        return "".join(rnd.choice(B64) for _ in range(n)) if rnd.random() < 0.6 else "".join(rnd.choice(lower) for _ in range(n))
+
+    keys = [key() for _ in range(60)]
+    rows = [(i, " ".join([*(name() for _ in range(500)), k, *(name() for _ in range(500))]), "en", "s") for i, k in enumerate(keys)]
+    prose = spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL").select("text").collect()
+    rows += [(1000 + i, r.text, "en", "s") for i, r in enumerate(prose)]
+    docs = documents(spark, rows)
+    found = right = wrong = 0
+    for r in secret_spans(docs).where("doc_id < 1000").collect():
+        got = {rows[r.doc_id][1][s.start : s.end] for s in r.spans if s.kind == 3}
+        right += keys[r.doc_id] in got
+        wrong += len(got - {keys[r.doc_id]})
+        found += len(got)
+    print(f"recall {right / 60:.3f}, false discoveries {wrong} of {found}, {60 * 1000} other strings")
+    assert right >= 54 and wrong <= 0.05 * found
+
+
+def test_added_spans_against_a_plain_count(spark):
+    """The threshold and the spans again, from all p-values sorted, not from a histogram."""
+    rnd = random.Random(12)
+    rows = [(i, f"{CORPUS[:300]} {''.join(rnd.choice(B64) for _ in range(rnd.randint(16, 50)))} password: hunter2hunter2 {rnd.choice(['some_ordinary_words', 'internationalization', 'Best0fTimes0fNames'])}", "en", "s") for i in range(80)]
+    params = BatteryParams()
+    model = Ordinary.learn(sum(neighbours(t) for _, t, *_ in rows), params.floor)
+    every = {}
+    for i, t, *_ in rows:
+        for m in re.finditer("[A-Za-z0-9+/_-]+", t):
+            if len(m[0]) >= 16 and not any(a < m.end() and m.start() < b for a, _, b in plain(t)) and (r := battery(m[0])):
+                every[i, m.start(), m.end()] = p_value(m[0], *r, model, params)
+    most = max((p for n, p in enumerate(sorted(every.values()), 1) if p <= params.fdr * n / len(every)), default=0.0)
+    want = {k for k, p in every.items() if p <= most}
+    got = {(r.doc_id, s.start, s.end) for r in secret_spans(documents(spark, rows)).collect() for s in r.spans if s.kind == 3}
+    assert len(want) > 40 and got <= want and len(want - got) <= 2  # bins round thresholds down
 
 
 def test_planted_random_strings_are_found(spark):
