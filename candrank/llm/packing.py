@@ -57,8 +57,8 @@ def full_patterns(size: int) -> np.ndarray:
     return np.stack([a[held], b[held], c[held]], axis=1)
 
 
-def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Non-negative least squares: repeats whose lengths come nearest to the histogram, by multiplicative steps."""
+def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 1000, change: float = 1e-4) -> np.ndarray:
+    """Non-negative least squares: repeats whose lengths come nearest to the histogram, by multiplicative steps until they stand still."""
     p = patterns
     b = histogram.astype(float).copy()
     b[0] = 0.0
@@ -69,13 +69,14 @@ def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 200)
     for _ in range(rounds):
         made = sum(np.bincount(p[:, i], weights=x, minlength=len(b)) for i in range(3))
         made[0] = 0.0
-        x *= wanted / np.maximum(weight(made), 1e-12)
+        before, x = x, x * (wanted / np.maximum(weight(made), 1e-12))
+        if np.abs(x - before).sum() <= change * x.sum():
+            break
     return x
 
 
-def round_repeats(patterns: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Whole repeats by carrying fractions along; never more than the histogram still holds. Changes histogram."""
-    whole = np.diff(np.floor(np.concatenate([[0.0], np.cumsum(x)]) + 0.5)).astype(np.int64)
+def _taken(patterns: np.ndarray, whole: np.ndarray, histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeats, never more than the histogram still holds. Changes histogram."""
     out = []
     for k in np.flatnonzero(whole):
         pattern = tuple(int(v) for v in patterns[k] if v)
@@ -88,6 +89,14 @@ def round_repeats(patterns: np.ndarray, x: np.ndarray, histogram: np.ndarray) ->
     return out
 
 
+def round_repeats(patterns: np.ndarray, x: np.ndarray, histogram: np.ndarray, share: float = 0.9) -> list[tuple[tuple[int, ...], int]]:
+    """Repeats rounded down, then their fractions carried along, but for the tenth that best fit needs to fill its gaps. Changes histogram."""
+    whole = np.floor(x + 1e-9)
+    out = _taken(patterns, whole.astype(np.int64), histogram)
+    carried = np.floor(np.concatenate([[0.0], np.cumsum((x - whole) * share)]) + 0.5)
+    return out + _taken(patterns, np.diff(carried).astype(np.int64), histogram)
+
+
 def best_fit(histogram: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """Best fit, longest first, over counts instead of pieces."""
     room: dict[int, dict[tuple[int, ...], int]] = {}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from candrank.llm.bpe import coder
-from candrank.llm.packing import END_ID, best_fit, fit_repeats, full_patterns, pack, plan
+from candrank.llm.packing import END_ID, best_fit, fit_repeats, full_patterns, pack, plan, round_repeats
 from tests.conftest import DATA
 from tests.llm.edge import ROWS, documents
 
@@ -64,3 +64,16 @@ def test_best_fit_wastes_little():
     h = np.zeros(101, dtype=np.int64)
     h[[30, 40, 70, 60, 100]] = 5, 4, 5, 4, 3
     assert sum(n for _, n in best_fit(h, 100)) == 12
+
+
+def test_patterns_cost_no_sequence():
+    """A histogram like that of prose: patterns hold most of the pieces, and no more sequences than best fit alone."""
+    rnd = np.random.default_rng(4)
+    lengths = np.clip(np.exp(rnd.normal(5.9, 0.9, 60_000)).astype(int), 1, 5000)
+    h = np.bincount((lengths - 1) % 1024 + 1, minlength=1025)
+    h[1024] += ((lengths - 1) // 1024).sum()
+    p, left = full_patterns(1024), h.copy()
+    made = round_repeats(p, fit_repeats(p, h), left)
+    used = sum(n for _, n in made + best_fit(left.copy(), 1024))
+    assert sum(len(x) * n for x, n in made) > 0.5 * h[:1024].sum()
+    assert (h * np.arange(1025)).sum() / 1024 <= used <= sum(n for _, n in best_fit(h.copy(), 1024))
