@@ -8,9 +8,14 @@ an interval of suffixes; backward extension byte by byte, breadth first, splits
 Burrows-Wheeler transform does, and carries the common prefixes along; windows whose common prefix reaches the least
 length are equal, and the extension stops when a window would no longer hold the anchor.
 
-Defined results: null text is empty; documents are ordered by doc_id, null first, and rows that repeat a doc_id by the
-order in which they are read, as different documents; docs must give the same rows in the same order whenever it is
-read, as a table does; strings never cross documents.
+Rows are told apart by doc_id and 32 bits of a hash of their text, which are data, so a scan may deal rows as it likes.
+Text that has to meet what was found is shuffled compressed. Equal anchors and contexts are told by 64-bit hashes each,
+without a second look at the bytes: among 10 billion contexts the chance that any two of one anchor are mixed up is below
+one in 10 billion.
+
+Defined results: null text is empty; documents are ordered by doc_id, null first; different texts of one doc_id are
+different documents, in order of their hashes (two of them are mixed up once in 4 billion pairs); rows equal in doc_id and
+text are one document, and get equal rows; strings never cross documents.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +35,7 @@ LENGTH = 100
 ANCHOR = 36
 CHUNK = 1 << 21
 #: Contexts of one anchor that one task solves; anchors with more go another, equally exact way.
-MOST = 100_000
+MOST = 20_000
 LEAST = -(1 << 63)
 PLACE = np.uint64((1 << 24) - 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -130,7 +136,9 @@ def expand(key: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, le
     before = np.frombuffer(b"".join(b[::-1].ljust(reach, b"\0") for b in left), dtype=np.uint8).reshape(m, reach)
     after = np.frombuffer(b"".join(b.ljust(length, b"\0") for b in right), dtype=np.uint8).reshape(m, length)
     rank = np.empty(m, dtype=np.int64)
-    rank[np.lexsort((at, row, doc))] = np.arange(m)
+    turn = np.lexsort((at, row, doc))
+    other = [(x[turn][1:] != x[turn][:-1]) for x in (doc, row, at)]
+    rank[turn] = np.concatenate([[0], np.cumsum(np.any(other, axis=0))])
     order = np.lexsort((r_len, np.ascontiguousarray(after).view(f"S{length}").ravel(), key))
     differ = after[order[1:]] != after[order[:-1]]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
@@ -175,7 +183,7 @@ def _solve(rows: pa.Table, length: int, k: int) -> pa.RecordBatch:
     edge = np.diff(np.pad(gone.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     i, near = np.nonzero(edge == 1)
     _, far = np.nonzero(edge == -1)
-    return pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(at[i] - far + 1), pa.array(at[i] - near + length)], names=["row", "from", "to"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(row[i]), pa.array(at[i] - far + 1), pa.array(at[i] - near + length)], names=["doc", "row", "from", "to"])
 
 
 def _expanded(length: int, k: int):
@@ -220,31 +228,43 @@ def window_ranges(contexts: DataFrame, length: int) -> DataFrame:
     each = materialize(contexts.mapInArrow(windows, "digest binary, doc bigint, row bigint, `from` bigint").distinct(), "windows")
     first = each.groupBy("digest").agg(F.min(F.struct("doc", "row", "from")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = each.join(materialize(first.select("digest", "first"), "first-windows"), "digest").where(F.struct("doc", "row", "from") > F.col("first"))
-    return later.select("row", "from", (F.col("from") + length).alias("to"))
+    return later.select("doc", "row", "from", (F.col("from") + length).alias("to"))
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """docs with bytes in place of text: the text as UTF-8, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield batch.set_column(batch.schema.get_field_index("text"), "bytes", pa.array([pack(t.encode()) for t in batch.column("text").to_pylist()], pa.binary()))
+
+    return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" if f.name != "text" else "bytes binary" for f in docs.schema.fields))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most: int = MOST) -> DataFrame:
-    """(row, from, to): byte ranges of docs (doc, row, text) that are covered by strings that occur earlier; they may overlap."""
+    """(doc, row, from, to): byte ranges of docs (doc, row, text) that are covered by strings that occur earlier; they may overlap."""
     found = occurrences(docs, length, k)
     # Written, so that both sides of the next join come straight from a shuffle, whose hot keys Spark can split.
     twice = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     found = materialize(found.join(twice, "key"), "occurrences")
     least = F.min(F.struct("doc", "row", "place")).alias("least")
     contexts = materialize(found.groupBy("key", "context").agg(least, F.count("*").alias("n")), "contexts")
-    copied = contexts.where("n > 1").select("key", "context", F.col("least.row").alias("r"), F.col("least.place").alias("p"))
-    later = (F.col("row") != F.col("r")) | (F.col("place") != F.col("p"))
+    copied = contexts.where("n > 1").select("key", "context", "least")
     first, windows, offset = (lambda c: F.shiftright(c, 16)), (lambda c: F.shiftright(c, 8).bitwiseAND(255)), (lambda c: c.bitwiseAND(255))
     place = F.col("place")
-    whole = found.join(copied, ["key", "context"]).where(later).select("row", first(place).alias("from"), (first(place) + windows(place) + length - 1).alias("to"))
+    later = found.join(copied, ["key", "context"]).where(F.struct("doc", "row", "place") != F.col("least"))
+    whole = later.select("doc", "row", first(place).alias("from"), (first(place) + windows(place) + length - 1).alias("to"))
     many = materialize(contexts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "open-keys")
     place = F.col("least.place")
-    open_ = contexts.join(many, "key").select("key", "c", F.col("least.row").alias("row"), (first(place) + offset(place)).alias("at"))
+    open_ = contexts.join(many, "key").select("key", "c", "least.doc", "least.row", (first(place) + offset(place)).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows, keys, places, left, right = [], [], [], [], []
-            for i, (text, wanted_) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist())):
-                b = text.encode()
+            for i, (packed, wanted_) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("wanted").to_pylist())):
+                b = unpack(packed)
                 for w in wanted_:
                     a = w["at"]
                     rows.append(i), keys.append(w["key"]), places.append(a)  # noqa: B018
@@ -256,11 +276,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most
             )
 
     def bytes_of(places: DataFrame) -> DataFrame:
-        wanted = places.groupBy("row").agg(F.collect_list(F.struct("key", "at")).alias("wanted"))
-        rows = docs.join(wanted, "row").select("doc", "row", "text", "wanted")
+        wanted = places.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "at")).alias("wanted"))
+        rows = compressed(docs).join(wanted, ["doc", "row"]).select("doc", "row", "bytes", "wanted")
         return rows.mapInArrow(cut, "key bigint, doc bigint, row bigint, at bigint, left binary, right binary")
 
-    parts = bytes_of(open_.where(F.col("c") <= most)).repartition("key").sortWithinPartitions("key").mapInArrow(_expanded(length, k), "row bigint, `from` bigint, `to` bigint")
+    parts = bytes_of(open_.where(F.col("c") <= most)).repartition("key").sortWithinPartitions("key").mapInArrow(_expanded(length, k), "doc bigint, row bigint, `from` bigint, `to` bigint")
     out = whole.unionByName(parts)
     if not many.where(F.col("c") > most).isEmpty():
         out = out.unionByName(window_ranges(bytes_of(open_.where(F.col("c") > most)), length))
@@ -269,16 +289,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
-    rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
-    ordered = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), "row", "text")
-    ranges = repeated_ranges(ordered, length, k, most).groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    rows = id_and_text(docs)
+    rows = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("row"), "text")
+    ranges = repeated_ranges(rows.select("doc", "row", "text"), length, k, most).groupBy("doc", "row").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
-                b = text.encode()
+            for packed, found in zip(batch.column("bytes").to_pylist(), batch.column("ranges").to_pylist()):
+                b = unpack(packed)
                 spans: list[list[int]] = []
                 for a, z in sorted((r["from"], r["to"]) for r in found or ()):
                     if spans and a <= spans[-1][1]:
@@ -293,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    joined = rows.join(ranges, "row", "left").select("doc_id", "text", "ranges")
+    joined = compressed(rows).join(ranges, ["doc", "row"], "left").select("doc_id", "bytes", "ranges")
     return joined.mapInArrow(apply, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 

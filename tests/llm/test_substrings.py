@@ -52,3 +52,17 @@ def test_edge_rows(spark):
     rows = sorted(ROWS, key=lambda r: -1 if r[0] is None else r[0])
     assert got(documents(spark)) == plain([r[:2] for r in rows])
     assert remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_equal_ids_and_equal_rows(spark, monkeypatch):
+    """Different texts of one id are different documents; equal rows are one; nothing depends on how a scan deals rows."""
+    from tests.llm.test_rows import redealt
+
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, b = text(300), text(250)
+    rows = [(1, a), (1, a), (2, b), (2, a + b), (3, text(400) + a)]
+    monkeypatch.setattr(substrings.F, "monotonically_increasing_id", redealt)
+    out = got(materialize(spark.createDataFrame(rows * 1, "doc_id long, text string").repartition(3), "equal"))
+    assert [r for r in out if r[0] == 1] == [(1, 300, 0, 0, a.encode())] * 2
+    assert sum(r[2] for r in out if r[0] == 2) == 550 and [r[2] for r in out if r[0] == 3] == [300]
