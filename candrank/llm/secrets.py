@@ -237,15 +237,15 @@ def _spans(x: dict, most: float, model: Ordinary, params: BatteryParams) -> list
     return sorted(out + [(c["start"], 3, c["end"]) for c in x["more"] if p_value(c["s"], c["least"], c["k"], model, params) <= most])
 
 
-def _found(docs: DataFrame, name: str, params: BatteryParams) -> tuple[DataFrame, Ordinary, float]:
-    found = materialize(_with_found(docs, name), "secrets")
+def _found(docs: DataFrame, name: str, params: BatteryParams, *unused: str) -> tuple[DataFrame, Ordinary, float]:
+    found = materialize(_with_found(docs, name).drop(*unused), "secrets")
     model = _model(found, name, params)
     return found, model, discovery_threshold(found, name, model, params)
 
 
 def secret_spans(docs: DataFrame, params: BatteryParams = BatteryParams()) -> DataFrame:
     """(doc_id, spans array<struct<start,kind,end>>) for each row of docs, by start, then kind; kind numbers index KINDS."""
-    found, model, most = _found(id_and_text(docs), "found", params)
+    found, model, most = _found(id_and_text(docs), "found", params, "text")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))

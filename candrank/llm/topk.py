@@ -1,13 +1,15 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Each component of the vectors is a sorted list. Queries meet all vectors in blocks of bounded size (a grid of query
-blocks and vector blocks, dealt by an equi-join key). In a block the lists are read to growing depth, from the top for
-positive and from the bottom for negative query components; what was read and the last value read give every vector a
-lower and an upper bound. Reading stops for vectors whose upper bound is below the k-th lower bound; the scores of the
-others are resolved in full. Blocks are merged by Spark.
+blocks and vector blocks, dealt by an equi-join key). In a block an eighth of the vectors is scored in full, which gives
+each query a k-th score that the best must reach. For the others the lists are read in order to growing depth, from the
+top for positive and from the bottom for negative query components; what was read and the last value read bound their
+scores from above. Vectors whose bound is below the k-th score are never scored; reading ends for a query when only few
+are left, whose scores are resolved one by one. Blocks are merged by Spark.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no
 part; only vectors of one length are compared; rows with the query's vec_id are its own; ties go to the smaller vec_id.
+Components and scores must fit in a long; a larger score fails the query.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 from candrank.llm.common import materialize, table
 
 SCALE = 64
-DEPTHS = (8, 2)
+#: Shares of the lists that are read before bounds are compared again; vectors left for a query at which reading ends.
+DEPTHS = (0.5, 0.625, 0.75, 0.875)
+FEW = 0.02
+SEEDS = 8
 QUERIES_AT_ONCE = 256
+PAIRS_AT_ONCE = 1 << 18
 
 
 def grid(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -33,49 +39,63 @@ def grid(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     return embeddings.where(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), x.alias("v"))
 
 
-def bounds_at(x: np.ndarray, ordered: np.ndarray, rank: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """Lower and upper stand-ins for components, for lists read down to depth from the top, then from the bottom."""
+def bounds_at(x: np.ndarray, ordered: np.ndarray, rank: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """What components are at most (lists read down to depth from the top) and at least (from the bottom)."""
     n = len(x)
-    top, bottom = rank >= n - depth, rank < depth
-    return np.where(top, x, ordered[0]), np.where(top, x, ordered[n - depth - 1]), np.where(bottom, x, ordered[-1]), np.where(bottom, x, ordered[depth])
+    return np.where(rank >= n - depth, x, ordered[n - depth - 1]), np.where(rank < depth, x, ordered[depth])
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best among x, which may hold the query itself."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1]
-    kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64  # sums of whole numbers stay exact
+def kind_for(most: int) -> type:
+    """Numbers in which sums of whole numbers up to most stay exact."""
+    return np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
+
+
+def best(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query_id, vec_id, score) of each query's k best among x, which may hold the query itself; and how many pairs were scored."""
+    kind = kind_for(int(np.abs(queries).max(initial=0)) * int(np.abs(x).max(initial=0)) * x.shape[1])
     x, queries = x.astype(kind), queries.astype(kind)
     n = len(x)
-    rank = np.empty(x.shape, dtype=np.int32)
-    order = np.argsort(x, axis=0, kind="stable")
-    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
-    ordered = np.take_along_axis(x, order, axis=0)
-    rounds = [bounds_at(x, ordered, rank, n // d) for d in DEPTHS if 0 < n // d < n and n > 4 * k and kind is not np.int64]
-    out = []
+    seeds = min(n, max(n // SEEDS, 2 * k))
+    first, rest, rest_ids = x[:seeds], x[seeds:], ids[seeds:]
+    rank = np.empty(rest.shape, dtype=np.int32)
+    order = np.argsort(rest, axis=0, kind="stable")
+    np.put_along_axis(rank, order, np.arange(len(rest), dtype=np.int32)[:, None], axis=0)
+    ordered = np.take_along_axis(rest, order, axis=0)
+    depths = sorted({d for share in DEPTHS if 0 < (d := int(len(rest) * share)) < len(rest)})
+    bounds = [bounds_at(rest, ordered, rank, d) for d in depths]
+    out, scored = [], 0
     for a in range(0, len(queries), QUERIES_AT_ONCE):
         q, qid = queries[a : a + QUERIES_AT_ONCE], query_ids[a : a + QUERIES_AT_ONCE]
-        own = qid[:, None] == ids[None, :]
+        own = qid[:, None] == ids[None, :seeds]
+        known = q @ first.T
+        least = np.iinfo(np.int64).min if kind is np.int64 else -float("inf")
+        reached = np.where(own, least, known)
+        kth = np.partition(reached, seeds - k, axis=1)[:, seeds - k, None] if seeds >= k else np.full((len(q), 1), least)
+        alive = qid[:, None] != rest_ids[None, :]
         plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        alive = ~own
-        for low_top, up_top, low_bottom, up_bottom in rounds:
-            low = plus @ low_top.T + minus @ low_bottom.T
-            low[own] = -np.inf
-            kth = np.partition(low, n - k, axis=1)[:, n - k, None]
-            alive &= (plus @ up_top.T + minus @ up_bottom.T) >= kth
-        left = np.flatnonzero(alive.any(axis=0))
-        score = q @ x[left].T
-        for i in range(len(q)):
-            at = np.flatnonzero(alive[i, left])
-            s = score[i, at]
-            if len(at) > k:
-                kth = np.partition(s, len(s) - k)[len(s) - k]
-                at, s = at[s >= kth], s[s >= kth]
-            chosen = np.lexsort((ids[left[at]], -s))[:k]
-            out.append((np.full(len(chosen), qid[i]), ids[left[at[chosen]]], s[chosen].astype(np.int64)))
-    return tuple(np.concatenate([o[j] for o in out]) if out else np.zeros(0, dtype=np.int64) for j in range(3))
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int = 2048, vector_block: int = 8192) -> DataFrame:
+        reading = np.arange(len(q))
+        for up, down in bounds:
+            alive[reading] &= plus[reading] @ up.T + minus[reading] @ down.T >= kth[reading]
+            reading = reading[alive[reading].mean(axis=1) > FEW]
+            if not len(reading):
+                break
+        i, j = np.nonzero(alive)
+        score = np.empty(len(i), dtype=kind)
+        for b in range(0, len(i), PAIRS_AT_ONCE):
+            at = slice(b, b + PAIRS_AT_ONCE)
+            score[at] = (q[i[at]] * rest[j[at]]).sum(axis=1)
+        scored += known.size + len(i)
+        i0, j0 = np.nonzero(~own & (known >= kth))
+        i, j, score = np.concatenate([i0, i]), np.concatenate([ids[j0], rest_ids[j]]), np.concatenate([known[i0, j0], score])
+        order = np.lexsort((j, -score, i)) if kind is not object else np.array(sorted(range(len(i)), key=lambda r: (i[r], -score[r], j[r])), dtype=np.int64)
+        i, j, score = i[order], j[order], score[order]
+        starts = np.searchsorted(i, np.arange(len(q)))
+        kept = np.arange(len(i)) - starts[i] < k
+        out.append((qid[i[kept]], j[kept], score[kept].astype(np.int64)))
+    return *(np.concatenate([o[c] for o in out]) if out else np.zeros(0, dtype=np.int64) for c in range(3)), scored
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int = 4096, vector_block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs are (vec_id, dim, v)."""
     blocks = {name: max(1, ceil(df.count() / size)) for name, df, size in (("q", queries, query_block), ("v", vectors, vector_block))}
     own = lambda name: F.pmod(F.xxhash64("vec_id"), F.lit(blocks[name])).cast("int").alias(name)
@@ -85,7 +105,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int
 
     def solve(a: pa.Table, b: pa.Table) -> pa.Table:
         matrix = lambda t: t.column("x").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        found = best(matrix(a), a.column("vec_id").to_numpy(), matrix(b), b.column("vec_id").to_numpy(), k) if a.num_rows and b.num_rows else ([], [], [])
+        found = best(matrix(a), a.column("vec_id").to_numpy(), matrix(b), b.column("vec_id").to_numpy(), k)[:3] if a.num_rows and b.num_rows else ([], [], [])
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), found)})
 
     partial = left.groupBy("dim", "q", "v").cogroup(right.groupBy("dim", "q", "v")).applyInArrow(solve, "query_id bigint, vec_id bigint, score bigint")

@@ -2,9 +2,10 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from candrank.llm.registry import ORACLE_SQL, QUERIES
-from candrank.llm.topk import best, grid, top_k
+from candrank.llm.topk import best, grid, kind_for, top_k
 
 
 def test_query_equals_its_sql(same):
@@ -35,5 +36,26 @@ def test_blocks_bounds_ties_and_bad_vectors(spark):
 
 def test_large_components_stay_exact():
     x = np.array([[2**30, 1], [2**30, 2], [5, 5]], dtype=np.int64)
-    q, i, s = best(x[:1], np.array([0]), x, np.array([0, 1, 2]), 2)
+    q, i, s, _ = best(x[:1], np.array([0]), x, np.array([0, 1, 2]), 2)
     assert list(i) == [1, 2] and list(s) == [2**60 + 2, 5 * 2**30 + 5]
+
+
+def test_sums_beyond_a_long_are_exact_or_fail():
+    x = np.array([[2**40, 2**40], [2**40, -(2**40)], [1, 2]], dtype=np.int64)
+    assert kind_for(2**81) is object
+    q, i, s, _ = best(np.array([[2**22, 0]], dtype=np.int64), np.array([9]), x, np.array([0, 1, 2]), 3)
+    assert list(i) == [0, 1, 2] and list(s) == [2**62, 2**62, 2**22]
+    with pytest.raises(OverflowError):
+        best(x[:1], np.array([9]), x, np.array([0, 1, 2]), 3)
+
+
+def test_bounds_leave_most_vectors_unscored():
+    rnd = np.random.default_rng(5)
+    x = np.floor(8 * rnd.normal(size=(16_384, 64))).astype(np.int64)
+    ids, want = np.arange(len(x)), x[:200] @ x.T
+    q, i, s, scored = best(x[:200], ids[:200], x, ids, 20)
+    assert scored < 0.35 * 200 * len(x)
+    for k in range(200):
+        order = np.lexsort((ids, -want[k]))
+        order = order[order != k][:20]
+        assert list(i[q == k]) == list(order) and list(s[q == k]) == list(want[k][order])
