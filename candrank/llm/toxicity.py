@@ -4,8 +4,9 @@ Features: densities of a lexicon of words and word beginnings learned from the l
 punctuation and obfuscated words. Trees and calibration are Spark ML models fitted on a bounded sample of labelled rows
 (the least hashes of doc_id), the calibration on rows that the trees have not seen.
 
-Defined results: null or empty text has features 0 and gets the model's score for them; without labelled rows of both
-kinds every score is the share of label 1 (0 if there is none); equal rows give equal rows.
+Defined results: null or empty text has features 0 and gets the model's score for them; a label above 0 is label 1; without
+labelled rows of both kinds every score is the share of label 1 (0 if there is none); if the rows for the trees or those kept
+aside hold one kind only, as with very few labels, both are fitted on all rows; equal rows give equal rows.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def dense_features(docs: DataFrame, lexicon: frozenset[str], params: ToxicParams
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, params: ToxicParams) -> DataFrame:
     """(doc_id, text, toxic) of at most max_labelled rows that may be learned from."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_labelled)
     got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return materialize(got.dropDuplicates(["doc_id"]), "toxic-sample")
@@ -166,9 +167,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicPara
     fitted = materialize(dense_features(sample, lexicon, params).join(sample.select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id"), "toxic-features")
     seen = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(4)) > 0
     rows = assembler.transform(fitted).select("features", "label", seen.alias("seen")).coalesce(2).cache()
-    trees = GBTClassifier(maxIter=params.trees, maxDepth=params.depth, stepSize=0.3, seed=7).fit(rows.where("seen"))
+    apart = rows.select("seen", "label").distinct().count() == 4
+    trees = GBTClassifier(maxIter=params.trees, maxDepth=params.depth, stepSize=0.3, seed=7).fit(rows.where("seen") if apart else rows)
     margin = lambda df: df.withColumn("margin", vector_to_array("probability")[1])
-    aside = margin(trees.transform(rows.where("NOT seen")))
+    aside = margin(trees.transform(rows.where("NOT seen") if apart else rows))
     steps = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(aside)
     rows.unpersist()
     scored = margin(trees.transform(assembler.transform(dense_features(docs, lexicon, params))))
