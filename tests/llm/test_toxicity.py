@@ -81,7 +81,7 @@ def test_scores_are_shares(spark):
     """Of texts that look alike a known share has label 1: scores lie near it, though the trees alone push towards 0 and 1."""
     rnd = random.Random(3)
     rows = [(i, f"{['kind friend', 'awful brute'][i % 2]} you are {'abcdefghij'[i // 2 % 10] * 4} today", "en", "s") for i in range(2000, 4000)]
-    told = [(i, 1, int(rnd.random() < (0.03, 0.7)[i % 2]), "x", 0) for i in range(2000, 4000)]
+    told = [(i, 1, int(rnd.random() < (0.01, 0.92)[i % 2]), "x", 0) for i in range(2000, 4000)]
     out = toxicity(documents(spark, rows), labels(spark, told)).collect()
     means = [np.mean([r.score for r in out if r.doc_id % 2 == kind]) for kind in range(2)]
-    assert abs(means[0] - 0.03) < 0.05 and abs(means[1] - 0.7) < 0.1
+    assert abs(means[0] - 0.01) < 0.03 and abs(means[1] - 0.92) < 0.04
