@@ -43,15 +43,25 @@ def high_interest(score: Column, pident: Column, qcov: Column, length: Column, r
     return at_least(score, rule.interest_score) & (pident.isNull() | _below(pident, rule.interest_pident)) & at_least(qcov, rule.least_qcov) & F.coalesce(length >= rule.interest_length, F.lit(False))
 
 
+RUN = ("accession", "target_label", "bioproject", "organism")
+
+
 def candidate_table(aa: DataFrame, annotations: DataFrame, hits: DataFrame, contigs: DataFrame) -> DataFrame:
-    """aa (query, aa_length) with annotation, first hit and contig; the long sequences themselves are not carried."""
-    a = annotations.select(F.col("id").alias("query"), "attrs")
-    n = contigs.select(F.col("id").alias("nt_contig"), F.length("seq").alias("nt_length"))
+    """The 25 columns of candidates: aa (query, aa_length and, if there, those of RUN) with annotation, first hit and contig.
+
+    If all four frames have an accession, candidates of many runs are joined within their runs; columns of RUN that aa
+    lacks are null. The long sequences themselves are not carried.
+    """
+    by = ["accession"] if all("accession" in df.columns for df in (aa, annotations, hits, contigs)) else []
+    a = annotations.select(*by, F.col("id").alias("query"), "attrs")
+    n = contigs.select(*by, F.col("id").alias("nt_contig"), F.length("seq").alias("nt_length"))
+    best = hits.select(*by, "query", "subject", "pident", "qcov", "scov", "evalue", "bitscore")
     attr = lambda k: F.try_element_at("attrs", F.lit(k))
-    joined = aa.join(a, "query", "left").join(hits, "query", "left").withColumn("nt_contig", contig_key(F.col("query"))).join(n, "nt_contig", "left")
+    run = [c if c in aa.columns else F.lit(None).cast("string").alias(c) for c in RUN]
+    joined = aa.select(*run, "query", "aa_length").join(a, [*by, "query"], "left").join(best, [*by, "query"], "left").withColumn("nt_contig", contig_key(F.col("query"))).join(n, [*by, "nt_contig"], "left")
     score = first_nonblank(*map(attr, ("score", "palm_score", "pa_score", "rdrp_score"))).try_cast("double")
     return joined.select(
-        "query", "nt_contig", F.coalesce("nt_length", F.lit(0)).alias("nt_length"), "aa_length", score.alias("palm_score"),
+        *RUN, "query", "nt_contig", F.coalesce("nt_length", F.lit(0)).alias("nt_length"), "aa_length", score.alias("palm_score"),
         F.coalesce(attr("pssm_score"), attr("pssm_total_score")).try_cast("double").alias("pssm_score"),
         attr("gene").alias("gene"), attr("order").alias("motif_order"), attr("confidence").alias("confidence"), attr("group").alias("group_guess"),
         attr("pp_start").try_cast("int").alias("palmprint_start"), attr("pp_end").try_cast("int").alias("palmprint_end"), attr("motifs").alias("motifs"),

@@ -53,9 +53,34 @@ def decide(lineages: DataFrame, rule: DecisionRule = DecisionRule()) -> DataFram
 def evidence(manifest: DataFrame, replication: DataFrame, viral: DataFrame, any_: DataFrame, nt: DataFrame, runs: DataFrame) -> DataFrame:
     """Left joins of the lineage manifest with replication, three best-hit tables (lineage and hit columns) and supported runs (reference, ...)."""
     packed = lambda df, name: df.select("lineage", F.struct(*(c for c in df.columns if c != "lineage")).alias(name))
-    out = manifest.join(replication.select("lineage", F.col("cross_run_replication").alias("replication"), "distinct_runs", "strong_cross_run_pairs"), "lineage", "left")
+    identity = F.col("minimum_palmdb_identity") if "minimum_palmdb_identity" in replication.columns else F.lit(None).cast("double").alias("minimum_palmdb_identity")
+    out = manifest.join(replication.select("lineage", F.col("cross_run_replication").alias("replication"), "distinct_runs", "strong_cross_run_pairs", identity), "lineage", "left")
     for df, name in ((viral, "viral"), (any_, "any"), (nt, "nt")):
         out = out.join(packed(df, name), "lineage", "left")
     out = out.join(runs.withColumnRenamed("reference", "lineage"), "lineage", "left")
     filled = [F.coalesce(F.col(c), F.lit("")) != "" for c in ("motif_A", "motif_B", "motif_C")]
     return out.withColumn("motif_complete", filled[0] & filled[1] & filled[2]).withColumn("replication", F.coalesce("replication", F.lit("missing"))).withColumn("supported_run_count", F.coalesce("supported_run_count", F.lit(0)))
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _percent(c: Column) -> Column:
+    """Three decimals, empty if missing."""
+    return F.when(c.isNull(), "").otherwise(F.format_string("%.3f", c.cast("double")))
+
+
+def decision_table(found: DataFrame, rule: DecisionRule = DecisionRule()) -> DataFrame:
+    """The final table of 22 text columns: decision and the evidence behind it; what is missing is empty. found is as evidence() makes it; manifests may have pident."""
+    own = F.col("pident") if "pident" in found.columns else F.lit(None).cast("double")
+    hit = lambda h, *columns: [(_percent(F.col(f"{h}.{c}")) if c in ("pident", "qcovs") else _text(F.col(f"{h}.{c}"))).alias(f"{name}_hit_{to}") for name in [{"viral": "viral", "any": "unrestricted", "nt": "nt"}[h]] for c, to in columns]
+    whole = (("saccver", "accession"), ("pident", "identity"), ("qcovs", "qcov"), ("sscinames", "taxon"), ("stitle", "title"))
+    return decide(found, rule).select(
+        "lineage", "decision", F.col("replication").alias("assembly_cross_run_replication"), F.coalesce(F.col("distinct_runs").cast("string"), F.lit("0")).alias("assembly_distinct_runs"),
+        F.col("supported_run_count").cast("string").alias("raw_supported_run_count"), _text(F.col("supported_runs")).alias("raw_supported_runs"),
+        _percent(F.coalesce(F.col("minimum_palmdb_identity"), own)).alias("minimum_PALMdb_2023_identity"),
+        *hit("viral", *whole), *hit("any", *whole), *hit("nt", *whole[:3]),
+        (near_identical("viral", rule.protein) | near_identical("any", rule.protein)).cast("string").alias("current_near_identical_protein"),
+        near_identical("nt", rule.nucleotide).cast("string").alias("current_near_identical_nucleotide"),
+    )

@@ -27,9 +27,15 @@ def top_n_distinct(df: DataFrame, key: str, value: str, n: int, *order: str) ->
 
 
 def diversity_cap(df: DataFrame, label: str, cap: int, *order: str) -> DataFrame:
-    """At most cap rows: the first of each label, then the rest, both by order."""
-    again = F.row_number().over(Window.partitionBy(label).orderBy(*order)) > 1
-    return df.withColumn("__again", again).orderBy("__again", *order).limit(cap).drop("__again")
+    """At most cap rows: the first of each label, then the rest, both by order, which must tell the rows of a label apart.
+
+    The first of each label is an aggregation and the rest a sorted limit, so no label has to fit in one task.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    rows = df.select(whole, F.col(label).alias("label"), F.struct(*order).alias("place"))
+    firsts = rows.groupBy("label").agg(F.min("place").alias("first"))
+    marked = rows.join(firsts, rows["label"].eqNullSafe(firsts["label"])).select("row", "place", (F.col("place") != F.col("first")).alias("again"))
+    return marked.orderBy("again", "place").limit(cap).select("row.*")
 
 
 def newest(df: DataFrame, label: str, date: str, n: int, *ties: str | Column) -> DataFrame:

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from candrank.functions.exprs import has_flags, lacks_flags
 
 #: Fixed values of alignment flags.
-PROPER, UNMAPPED, SECONDARY, SUPPLEMENTARY = 0x2, 0x4, 0x100, 0x800
+PROPER, UNMAPPED, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x2, 0x4, 0x100, 0x200, 0x400, 0x800
+#: What counts of reads leave out, and what depth leaves out.
 NOT_PRIMARY = UNMAPPED | SECONDARY | SUPPLEMENTARY
+NOT_IN_DEPTH = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE
+#: Positions of a reference that one task sweeps.
+RANGE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -22,13 +26,15 @@ class SupportRule:
     runs: int = 2
 
 
-def depth_summary(depth: DataFrame, references: DataFrame, steps: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+def depth_summary(depth: DataFrame, references: DataFrame, steps: tuple[int, ...] = (1, 5, 10), order: tuple[str, ...] = ("depth",)) -> DataFrame:
     """depth (reference, pos, depth) over references (reference, length): breadths, mean, exact median, p10, p90, cv, zero bases.
 
-    Positions of unknown references or out of range are ignored; positions not named have depth 0; quantiles take the
-    element at round-half-even((n - 1) * p) of the sorted depths.
+    Positions of unknown references or out of range are ignored; positions not named have depth 0; of a position that is
+    named again the last by order counts (by default the greatest depth); quantiles take the element at
+    round-half-even((n - 1) * p) of the sorted depths.
     """
-    known = depth.join(references, "reference").where((F.col("pos") >= 1) & (F.col("pos") <= F.col("length")))
+    last = depth.groupBy("reference", "pos").agg(F.max_by("depth", F.struct(*order)).alias("depth"))
+    known = last.join(references, "reference").where((F.col("pos") >= 1) & (F.col("pos") <= F.col("length")))
     counted = known.groupBy("reference", "depth").agg(F.count("*").alias("n"))
     covered = counted.groupBy("reference").agg(F.sum("n").alias("covered"))
     zeros = references.join(covered, "reference", "left").select("reference", F.lit(0).cast("bigint").alias("depth"), (F.col("length") - F.coalesce("covered", F.lit(0))).alias("n"))
@@ -57,15 +63,36 @@ def depth_summary(depth: DataFrame, references: DataFrame, steps: tuple[int, ...
     )
 
 
-def depth_from_intervals(intervals: DataFrame) -> DataFrame:
-    """(reference, start, end, depth): maximal runs of equal depth from intervals [start, end), by a sweep over +1 and -1."""
+def depth_from_intervals(intervals: DataFrame, width: int = RANGE) -> DataFrame:
+    """(reference, start, end, depth): maximal runs of equal depth from intervals [start, end), by a sweep over +1 and -1.
+
+    References are swept in ranges of width positions; a range begins with the depth that those before it leave.
+    """
     events = intervals.select("reference", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    steps = events.groupBy("reference", "e.pos").agg(F.sum("e.d").alias("d")).where("d <> 0")
-    w = Window.partitionBy("reference").orderBy("pos")
-    swept = steps.select("reference", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    steps = events.groupBy("reference", "e.pos").agg(F.sum("e.d").alias("d")).where("d <> 0").withColumn("range", F.floor(F.col("pos") / width))
+    each = Window.partitionBy("reference").orderBy("range")
+    ranges = steps.groupBy("reference", "range").agg(F.sum("d").alias("total"), F.min("pos").alias("first"))
+    before = F.coalesce(F.sum("total").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("reference", "range", before.alias("before"), F.lead("first").over(each).alias("next"))
+    w = Window.partitionBy("reference", "range").orderBy("pos")
+    depth = F.col("before") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    swept = steps.join(ranges, ["reference", "range"]).select("reference", F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(w), "next").alias("end"), depth.alias("depth"))
     return swept.where("`end` IS NOT NULL AND depth > 0")
 
 
+def alignment_depth(alignments: DataFrame) -> DataFrame:
+    """The same from alignments (reference, start, end, flag) that count for depth."""
+    return depth_from_intervals(alignments.where(lacks_flags(F.col("flag"), NOT_IN_DEPTH)))
+
+
+def reference_counts(alignments: DataFrame, references: DataFrame) -> DataFrame:
+    """(reference, length, mapped, unmapped): every reference, also without alignments (reference, flag)."""
+    unmapped = has_flags(F.col("flag"), UNMAPPED)
+    made = alignments.groupBy("reference").agg(F.count_if(~unmapped).alias("mapped"), F.count_if(unmapped).alias("unmapped"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return references.join(made, "reference", "left").select("reference", "length", zero("mapped"), zero("unmapped"))
+
+
 def read_counts(flag: Column, mapq: Column, least: int = 20) -> list[Column]:
     """Aggregates of one pass: primary, well-mapped and properly paired primary alignments."""
     primary = lacks_flags(flag, NOT_PRIMARY)

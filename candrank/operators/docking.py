@@ -61,10 +61,16 @@ def contacts(ligand_atoms: DataFrame, receptor_atoms: DataFrame, chains: tuple[s
 
 
 def pose_rmsd(atoms: DataFrame, group: list[str], pose: str, atom: str, axes: list[str], rule: ContactRule = ContactRule()) -> DataFrame:
-    """Per group: poses, mean, median and greatest RMSD over unordered pose pairs matched by atom; reproducible if the median is low. Groups of one pose have null RMSD."""
-    side = lambda n: atoms.select(*group, atom, F.col(pose).alias(f"pose_{n}"), F.array(*axes).alias(f"p{n}"))
-    square = F.aggregate(F.zip_with("p1", "p2", lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda s, x: s + x)
-    pairs = side(1).join(side(2), [*group, atom]).where("pose_1 < pose_2").groupBy(*group, "pose_1", "pose_2").agg(F.sqrt(F.avg(square)).alias("rmsd"))
+    """Per group: poses, mean, median and greatest RMSD over unordered pose pairs matched by atom, which a pose names once; a pose is one row before pairs are made; reproducible if the median is low. Groups of one pose have null RMSD."""
+    poses = atoms.groupBy(*group, pose).agg(F.array_sort(F.collect_list(F.struct(F.col(atom).alias("atom"), F.array(*axes).alias("p")))).alias("atoms"))
+    side = lambda n: poses.select(*group, F.col(pose).alias(f"pose_{n}"), F.transform("atoms", lambda x: x["atom"]).alias(f"names_{n}"), F.transform("atoms", lambda x: x["p"]).alias(f"p{n}"))
+    total = lambda x: F.aggregate(x, F.lit(0.0).cast("double"), lambda s, v: s + v)
+    square = lambda a, b: total(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)))
+    other = F.map_from_arrays("names_2", "p2")
+    common = F.filter(F.arrays_zip(F.col("names_1").alias("n"), F.col("p1").alias("p")), lambda x: F.map_contains_key(other, x["n"]))
+    each = F.when(F.col("names_1") == F.col("names_2"), F.zip_with("p1", "p2", square)).otherwise(F.transform(common, lambda x: square(x["p"], F.element_at(other, x["n"]))))
+    met = side(1).join(side(2), group).where("pose_1 < pose_2").select(*group, each.alias("squares")).where(F.size("squares") > 0)
+    pairs = met.select(*group, F.sqrt(total(F.col("squares")) / F.size("squares")).alias("rmsd"))
     made = pairs.groupBy(*group).agg(F.avg("rmsd").alias("mean_pairwise_rmsd"), F.median("rmsd").alias("median_pairwise_rmsd"), F.max("rmsd").alias("max_pairwise_rmsd"))
     n = atoms.groupBy(*group).agg(F.countDistinct(pose).alias("n_poses"))
     return n.join(made, group, "left").withColumn("pose_cluster_low_rmsd", F.coalesce(F.col("median_pairwise_rmsd") <= rule.low_rmsd, F.lit(False)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def file_manifest(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, bytes, sha256, md5) of every file below path, by path."""
+    """(path, bytes, sha256, md5) of every file below path, by path. A file is one value, so one of 2 GiB or more raises."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")).orderBy("path")
 
@@ -17,3 +17,12 @@ def verify(expected: DataFrame, actual: DataFrame, key: str, digest: str) -> Dat
     e, a = expected.select(key, F.col(digest).alias("__e")), actual.select(key, F.col(digest).alias("__a"))
     status = F.when(F.col("__a").isNull(), "missing").when(F.col("__e").isNull(), "unexpected").when(F.col("__a") == F.col("__e"), "ok").otherwise("mismatch")
     return e.join(a, key, "full").select(key, status.alias("status"))
+
+
+def parts_digest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(parts, bytes, sha256) of the files of paths, one after another in that order, as one file. Together they are one value."""
+    order = F.array_position(F.array(*map(F.lit, paths)), F.regexp_replace("path", "^file:/+", "/"))
+    files = spark.read.format("binaryFile").load(paths).select(order.alias("place"), "length", "content")
+    ordered = F.array_sort(F.collect_list(F.struct("place", "content")))
+    whole = F.aggregate(ordered, F.lit(b""), lambda s, x: F.concat(s, x["content"]))
+    return files.agg(F.count("*").alias("parts"), F.sum("length").alias("bytes"), F.sha2(whole, 256).alias("sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candrank.functions.exprs import has_flags, shown
+from candrank.functions.exprs import first_nonblank, has_flags, shown
 from candrank.operators.candidates import rank_all
 from candrank.operators.manifest import file_manifest
 
@@ -29,6 +29,16 @@ def flag_counts(alignments: DataFrame, *keys: str) -> DataFrame:
     return alignments.groupBy(*keys).agg(F.count("*").alias("total"), *(F.count_if(has_flags(F.col("flag"), b)).alias(name) for name, b in bits.items()))
 
 
+def lineage_audit(decisions: DataFrame) -> DataFrame:
+    """One row for each row of decision_table, as a report shows it: missing hits are `none`, missing numbers NA."""
+    pair = lambda h: F.concat_ws("/", shown(F.col(f"{h}_hit_identity")), shown(F.col(f"{h}_hit_qcov")))
+    viral = first_nonblank(F.col("viral_hit_taxon"), F.col("viral_hit_accession"), F.lit("none"))
+    return decisions.select(
+        "lineage", "decision", F.col("assembly_distinct_runs").alias("assembly_runs"), F.col("raw_supported_run_count").alias("raw_read_runs"),
+        viral.alias("current_viral_hit"), pair("viral").alias("protein_identity_qcov"), pair("nt").alias("nt_identity_qcov"),
+    )
+
+
 def output_manifest(spark: SparkSession, folder: str, to: str) -> DataFrame:
     """Writes (path, bytes, sha256) of every file in folder to `to`; returns the digests of what was written there."""
     file_manifest(spark, folder).select("path", "bytes", "sha256").coalesce(1).write.json(to)

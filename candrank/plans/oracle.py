@@ -44,7 +44,27 @@ _POSES = """p AS (SELECT l_returnflag AS ligand_std, coalesce(l_linestatus, 'all
   stddev_samp(l_extendedprice) AS sd_score, avg(CAST(l_quantity > 10 AS INTEGER)) AS dual, avg(CAST(l_quantity > 15 AS INTEGER)) AS cleft, avg(l_tax) AS tax
   FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag)))"""
 _POINTS = "e AS (SELECT vec_id, label AS system, CAST(embedding[1] AS DOUBLE) * 20 AS x, CAST(embedding[2] AS DOUBLE) * 20 AS y, CAST(embedding[3] AS DOUBLE) * 20 AS z FROM embeddings WHERE embedding IS NOT NULL)"
-_HIT = "SELECT l_partkey, l_suppkey AS acc, l_discount * 1000 AS pident, l_quantity * 2 AS qcovs, l_extendedprice AS bits, CASE WHEN l_quantity * 2 > 20 THEN 0.0 ELSE 1.0 END AS evalue, l_linestatus = 'O' AS viral FROM"
+_HIT = "SELECT l_partkey, l_suppkey AS acc, l_discount * 1000 AS pident, l_quantity * 2 AS qcovs, l_extendedprice AS bits, CASE WHEN l_quantity * 2 > 20 THEN 0.0 ELSE 1.0 END AS evalue, l_linestatus = 'O' AS viral, l_linestatus AS status FROM"
+
+_TEXT = "coalesce(CAST({0}.acc AS VARCHAR), '') AS {1}_hit_accession, CASE WHEN {0}.pident IS NULL THEN '' ELSE printf('%.3f', {0}.pident) END AS {1}_hit_identity, CASE WHEN {0}.qcovs IS NULL THEN '' ELSE printf('%.3f', {0}.qcovs) END AS {1}_hit_qcov"
+_TAXON = "coalesce(CASE WHEN {0}.viral THEN 'O' ELSE {0}.status END, '') AS {1}_hit_taxon, coalesce(CASE WHEN {0}.viral THEN 'some Virus' WHEN NOT {0}.viral THEN 'cell' END, '') AS {1}_hit_title"
+_HITS = ", ".join([_TEXT.format("v", "viral"), _TAXON.format("v", "viral"), _TEXT.format("a", "unrestricted"), _TAXON.format("a", "unrestricted"), _TEXT.format("t", "nt")])
+_EVIDENCE = f"""WITH {_SUPPORT}, n AS (SELECT reference, count(*) AS runs, string_agg(run, ';' ORDER BY run) AS names FROM s GROUP BY reference),
+v AS ({_HIT} ({_first("A")})), a AS ({_HIT} ({_first("N")})), t AS ({_HIT} ({_first("R")})),
+j AS (SELECT p_partkey AS lineage, coalesce(p_name, '') <> '' AND p_size > 3 AND coalesce(p_type, '') <> '' AND coalesce(p_brand, '') <> '' AS motif_complete,
+  CASE WHEN p_size > 20 THEN 'strong' WHEN p_size > 10 THEN 'not_established' ELSE 'missing' END AS replication, coalesce(n.runs, 0) AS supported_run_count,
+  coalesce(v.pident, 0) >= 90 AND coalesce(v.qcovs, 0) >= 80 OR coalesce(a.pident, 0) >= 90 AND coalesce(a.qcovs, 0) >= 80 OR coalesce(t.pident, 0) >= 95 AND coalesce(t.qcovs, 0) >= 80 AS known,
+  CASE WHEN a.l_partkey IS NOT NULL AND v.l_partkey IS NOT NULL THEN a.bits > 1.2 * v.bits AND a.acc <> v.acc AND NOT a.viral WHEN a.l_partkey IS NOT NULL THEN NOT a.viral ELSE FALSE END AS override,
+  v.l_partkey IS NOT NULL AND coalesce(v.evalue, 1) <= 1e-5 AS viral,
+  coalesce(v.pident, 0) >= 90 AND coalesce(v.qcovs, 0) >= 80 OR coalesce(a.pident, 0) >= 90 AND coalesce(a.qcovs, 0) >= 80 AS protein, coalesce(t.pident, 0) >= 95 AND coalesce(t.qcovs, 0) >= 80 AS nucleotide,
+  p_size, p_retailprice, n.names, {_HITS}
+  FROM part LEFT JOIN v ON p_partkey = v.l_partkey LEFT JOIN a ON p_partkey = a.l_partkey LEFT JOIN t ON p_partkey = t.l_partkey LEFT JOIN n ON p_partkey = n.reference)"""
+_LABEL = """CASE WHEN known THEN 'currently_known_or_near_identical_sequence' WHEN override THEN 'rejected_or_ambiguous_cellular_match'
+  WHEN motif_complete AND replication = 'strong' AND viral AND supported_run_count >= 2 THEN 'supported_unreported_RdRP_lineage_candidate'
+  WHEN motif_complete AND replication = 'strong' AND viral THEN 'assembly_replicated_RdRP_candidate_raw_support_incomplete' ELSE 'insufficient_validation' END"""
+_DECISIONS = f"""SELECT CAST(lineage AS VARCHAR) AS lineage, {_LABEL} AS decision, replication AS assembly_cross_run_replication, CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) ELSE '0' END AS assembly_distinct_runs,
+CAST(supported_run_count AS VARCHAR) AS raw_supported_run_count, coalesce(names, '') AS raw_supported_runs, printf('%.3f', CAST(CASE WHEN p_size > 10 AND p_size % 3 > 0 THEN p_size * 1.5 ELSE p_retailprice / 100 END AS DOUBLE)) AS "minimum_PALMdb_2023_identity",
+COLUMNS('^(viral|unrestricted|nt)_hit_'), CAST(protein AS VARCHAR) AS current_near_identical_protein, CAST(nucleotide AS VARCHAR) AS current_near_identical_nucleotide FROM j"""
 
 ORACLE_SQL = {
     "candidate_rank": f"""WITH {_CANDIDATES},
@@ -61,7 +81,7 @@ b AS (SELECT l_partkey, l_suppkey, min(k) AS k FROM a GROUP BY ALL), c AS (SELEC
 SELECT l_partkey, CAST(rank AS INTEGER) AS rank, l_suppkey FROM c WHERE rank <= 3""",
     "seq_filter": _SEQ,
     "stream_filter": _SEQ,
-    "seq_filter_stats": f"WITH {_TEXTS} SELECT count(*) AS records_seen, count(*) FILTER (WHERE ok) AS records_kept, CAST(coalesce(sum(n) FILTER (WHERE ok), 0) AS BIGINT) AS bases_kept FROM f",
+    "seq_filter_stats": f"WITH {_TEXTS} SELECT count(*) AS records_seen, count(*) FILTER (WHERE ok) AS records_kept, CAST(coalesce(sum(n) FILTER (WHERE ok), 0) AS BIGINT) AS bases_kept, 600 AS min_len, 100000 AS max_len FROM f",
     "fasta_roundtrip": """WITH x AS (SELECT doc_id, lang, regexp_replace(text, '[^A-Za-z]', '', 'g') AS seq FROM documents)
 SELECT 'doc' || doc_id AS id, 'doc' || doc_id || ' lang=' || lang AS header, length(seq) AS length, md5(seq) AS seq_md5 FROM x""",
     "run_selection_fewest": _selection("ASC"),
@@ -74,9 +94,9 @@ SELECT c_custkey, 0 FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o
 k AS (SELECT *, row_number() OVER (ORDER BY hi DESC, coalesce(pident, -1), l_extendedprice DESC, l_linenumber DESC, l_orderkey, l_partkey, l_suppkey, l_tax, l_shipdate) AS rank FROM u)
 SELECT CAST(rank AS INTEGER) AS rank, l_orderkey, l_partkey, l_returnflag, round(pident, 6) AS pident, round(l_extendedprice, 2) AS palm_score FROM k WHERE rank <= 50""",
     "pair_enumeration": """WITH m AS (SELECT DISTINCT l_partkey, l_suppkey, l_orderkey FROM lineitem),
-n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, l_orderkey) AS INTEGER) AS i FROM m)
-SELECT a.l_partkey, a.i AS i_1, b.i AS i_2, a.l_suppkey AS l_suppkey_1, b.l_suppkey AS l_suppkey_2, a.l_orderkey AS l_orderkey_1, b.l_orderkey AS l_orderkey_2
-FROM n a JOIN n b ON a.l_partkey = b.l_partkey AND a.i < b.i AND a.l_suppkey <> b.l_suppkey""",
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, l_orderkey) AS BIGINT) AS i FROM m)
+SELECT a.l_partkey, count(*) AS pairs, CAST(sum((a.i * 1000003 + b.i * 10007 + a.l_suppkey * 31 + b.l_suppkey * 37 + a.l_orderkey * 41 + b.l_orderkey * 43) % 1000000007) AS BIGINT) AS digest
+FROM n a JOIN n b ON a.l_partkey = b.l_partkey AND a.i < b.i AND a.l_suppkey <> b.l_suppkey GROUP BY a.l_partkey""",
     "lineage_rollup": """WITH s AS (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ';' ORDER BY o_orderstatus) AS runs, count(*) AS member_count, count(DISTINCT o_orderstatus) AS distinct_runs,
 bool_and(o_totalprice > 1000) AS all_complete, round(min(o_totalprice), 3) AS min_value, round(max(o_totalprice), 3) AS max_value FROM orders GROUP BY o_custkey) SELECT * FROM s""",
     "depth_from_intervals": """WITH i AS (SELECT user_id AS reference, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS s, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events),
@@ -86,27 +106,38 @@ w AS (SELECT reference, pos AS start, lead(pos) OVER (PARTITION BY reference ORD
 SELECT reference, start, "end", CAST(depth AS BIGINT) AS depth FROM w WHERE "end" IS NOT NULL AND depth > 0""",
     "depth_summary": """WITH b AS (SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem),
 pos AS (SELECT s_suppkey AS reference, unnest(generate_series(0, CAST(hi - lo AS BIGINT))) AS p, CAST(hi - lo AS BIGINT) + 1 AS len FROM supplier, b),
-c AS (SELECT l_suppkey AS reference, CAST(CAST(l_shipdate AS DATE) - lo AS BIGINT) AS p, count(*) AS d FROM lineitem, b GROUP BY ALL),
+r AS (SELECT l_suppkey AS reference, CAST(CAST(l_shipdate AS DATE) - lo AS BIGINT) AS p, l_returnflag AS flag, count(*) AS d FROM lineitem, b GROUP BY ALL),
+c AS (SELECT reference, p, d FROM (SELECT *, row_number() OVER (PARTITION BY reference, p ORDER BY flag DESC) AS k FROM r) WHERE k = 1),
 f AS (SELECT pos.reference, len, coalesce(d, 0) AS d FROM pos LEFT JOIN c ON pos.reference = c.reference AND pos.p = c.p),
 l AS (SELECT reference, max(len) AS len, list(d ORDER BY d) AS s, avg(d) AS m, stddev_pop(d) AS sd, count(*) FILTER (WHERE d >= 1) AS a1, count(*) FILTER (WHERE d >= 5) AS a5, count(*) FILTER (WHERE d >= 10) AS a10, count(*) FILTER (WHERE d = 0) AS z FROM f GROUP BY reference)
 SELECT reference, len AS reference_length, round(a1 / len, 6) AS breadth_1x, round(a5 / len, 6) AS breadth_5x, round(a10 / len, 6) AS breadth_10x, round(m, 6) AS mean_depth,
 (s[CAST(floor((len - 1) / 2) AS BIGINT) + 1] + s[CAST(ceil((len - 1) / 2) AS BIGINT) + 1]) / 2 AS median_depth, CAST(s[CAST(round_even((len - 1) * 0.1, 0) AS BIGINT) + 1] AS DOUBLE) AS depth_p10,
 CAST(s[CAST(round_even((len - 1) * 0.9, 0) AS BIGINT) + 1] AS DOUBLE) AS depth_p90, round(CASE WHEN m > 0 AND len > 1 THEN sd / m ELSE 0 END, 6) AS depth_cv, z AS zero_bases FROM l""",
+    "alignment_depth": """WITH i AS (SELECT user_id AS reference, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS s, event_id % 7 AS k FROM events WHERE (event_id % 4096) & 1796 = 0),
+v AS (SELECT reference, s AS pos, 1 AS d FROM i UNION ALL SELECT reference, s + 1 + k, -1 FROM i),
+g AS (SELECT reference, pos, sum(d) AS d FROM v GROUP BY ALL HAVING sum(d) <> 0),
+w AS (SELECT reference, pos AS start, lead(pos) OVER (PARTITION BY reference ORDER BY pos) AS "end", sum(d) OVER (PARTITION BY reference ORDER BY pos) AS depth FROM g)
+SELECT reference, start, "end", CAST(depth AS BIGINT) AS depth FROM w WHERE "end" IS NOT NULL AND depth > 0""",
+    "reference_counts": """WITH a AS (SELECT user_id, count(*) FILTER (WHERE (event_id % 4096) & 4 = 0) AS mapped, count(*) FILTER (WHERE (event_id % 4096) & 4 = 4) AS unmapped FROM events GROUP BY user_id)
+SELECT c_custkey AS reference, CAST(length(c_name) AS INTEGER) AS length, coalesce(mapped, 0) AS mapped, coalesce(unmapped, 0) AS unmapped FROM customer LEFT JOIN a ON c_custkey = user_id""",
     "read_counts": """WITH f AS (SELECT user_id AS reference, event_id % 4096 AS flag, event_id % 61 AS mapq FROM events)
 SELECT reference, count(*) AS reads, count(*) FILTER (WHERE flag & 2308 = 0) AS mapped_primary, count(*) FILTER (WHERE flag & 2308 = 0 AND mapq >= 20) AS mapped_mapq20,
 count(*) FILTER (WHERE flag & 2308 = 0 AND flag & 2 = 2) AS proper_pair_primary FROM f GROUP BY reference""",
     "supported_runs": f"WITH {_SUPPORT} SELECT reference, count(*) AS supported_run_count, string_agg(run, ';' ORDER BY run) AS supported_runs FROM s GROUP BY reference",
-    "decision_label": f"""WITH {_SUPPORT}, n AS (SELECT reference, count(*) AS runs FROM s GROUP BY reference),
-v AS ({_HIT} ({_first("A")})), a AS ({_HIT} ({_first("N")})), t AS ({_HIT} ({_first("R")})),
-j AS (SELECT p_partkey AS lineage, coalesce(p_name, '') <> '' AND p_size > 3 AND coalesce(p_type, '') <> '' AND coalesce(p_brand, '') <> '' AS motif_complete,
-  CASE WHEN p_size > 20 THEN 'strong' WHEN p_size > 10 THEN 'not_established' ELSE 'missing' END AS replication, coalesce(n.runs, 0) AS supported_run_count,
-  coalesce(v.pident, 0) >= 90 AND coalesce(v.qcovs, 0) >= 80 OR coalesce(a.pident, 0) >= 90 AND coalesce(a.qcovs, 0) >= 80 OR coalesce(t.pident, 0) >= 95 AND coalesce(t.qcovs, 0) >= 80 AS known,
-  CASE WHEN a.l_partkey IS NOT NULL AND v.l_partkey IS NOT NULL THEN a.bits > 1.2 * v.bits AND a.acc <> v.acc AND NOT a.viral WHEN a.l_partkey IS NOT NULL THEN NOT a.viral ELSE FALSE END AS override,
-  v.l_partkey IS NOT NULL AND coalesce(v.evalue, 1) <= 1e-5 AS viral
-  FROM part LEFT JOIN v ON p_partkey = v.l_partkey LEFT JOIN a ON p_partkey = a.l_partkey LEFT JOIN t ON p_partkey = t.l_partkey LEFT JOIN n ON p_partkey = n.reference)
-SELECT lineage, motif_complete, replication, supported_run_count, CASE WHEN known THEN 'currently_known_or_near_identical_sequence' WHEN override THEN 'rejected_or_ambiguous_cellular_match'
-  WHEN motif_complete AND replication = 'strong' AND viral AND supported_run_count >= 2 THEN 'supported_unreported_RdRP_lineage_candidate'
-  WHEN motif_complete AND replication = 'strong' AND viral THEN 'assembly_replicated_RdRP_candidate_raw_support_incomplete' ELSE 'insufficient_validation' END AS decision FROM j""",
+    "decision_label": f"{_EVIDENCE} SELECT lineage, motif_complete, replication, supported_run_count, {_LABEL} AS decision FROM j",
+    "decision_table": f"{_EVIDENCE} {_DECISIONS}",
+    "lineage_audit": f"""{_EVIDENCE}, z AS ({_DECISIONS}) SELECT lineage, decision, assembly_distinct_runs AS assembly_runs, raw_supported_run_count AS raw_read_runs,
+coalesce(nullif(viral_hit_taxon, ''), nullif(viral_hit_accession, ''), 'none') AS current_viral_hit, coalesce(nullif(viral_hit_identity, ''), 'NA') || '/' || coalesce(nullif(viral_hit_qcov, ''), 'NA') AS protein_identity_qcov,
+coalesce(nullif(nt_hit_identity, ''), 'NA') || '/' || coalesce(nullif(nt_hit_qcov, ''), 'NA') AS nt_identity_qcov FROM z""",
+    "candidate_table": f"""WITH h AS (SELECT l_partkey, l_suppkey AS subject, l_discount * 1000 AS pident, l_quantity * 2 AS qcov, l_extendedprice AS bitscore FROM ({_first()})),
+x AS (SELECT *, CASE WHEN p_size > 10 THEN round(p_retailprice - 900, 2) WHEN p_size > 3 THEN 80.0 END AS score FROM part LEFT JOIN h ON p_partkey = l_partkey)
+SELECT 'R1' AS accession, p_brand AS target_label, p_type AS bioproject, p_name AS organism, 'c' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '_frame=1' ELSE '' END AS query, 'c' || p_partkey AS nt_contig,
+CASE WHEN p_size > 5 THEN p_size ELSE 0 END AS nt_length, p_size * 5 AS aa_length, round(score, 6) AS palm_score, CASE WHEN p_size > 3 THEN 3.0 END AS pssm_score, CASE WHEN p_size > 3 THEN p_type END AS gene,
+CASE WHEN p_size > 3 THEN 'ABC' END AS motif_order, CAST(NULL AS VARCHAR) AS confidence, CASE WHEN p_size > 3 THEN 'g' END AS group_guess, CASE WHEN p_size > 3 THEN p_size END AS palmprint_start, CAST(NULL AS INTEGER) AS palmprint_end,
+CAST(NULL AS VARCHAR) AS motifs, subject AS best_palmdb_sotu, round(pident, 6) AS pident, round(qcov, 6) AS qcov, CASE WHEN subject IS NOT NULL THEN 50.0 END AS scov, CASE WHEN subject IS NOT NULL THEN 0.001 END AS evalue, round(bitscore, 6) AS bitscore,
+CASE WHEN pident IS NULL THEN 'no_PALMdb_hit' WHEN qcov < 40 THEN 'weak_partial_hit' WHEN pident < 35 THEN 'very_divergent_lt35pct'
+  WHEN pident < 50 THEN 'divergent_35_50pct' WHEN pident < 70 THEN 'moderate_50_70pct' WHEN pident < 90 THEN 'close_70_90pct' ELSE 'PALMdb_sOTU_level_ge90pct' END AS novelty_screen,
+(score IS NULL OR score >= 75) AND (pident IS NULL OR pident < 50) AND (qcov IS NULL OR qcov >= 40) AND p_size * 5 >= 90 AS high_interest_screen FROM x""",
     "annotation_map": """SELECT 'ev' || event_id AS id, CASE WHEN event_id % 3 = 0 OR coalesce(json_extract_string(props, '$.k'), '') = '' THEN 7.0 ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS score,
 event_type AS gene, 3 AS n FROM events WHERE event_type IS NOT NULL""",
     "hit_table": """SELECT CAST(l_partkey AS VARCHAR) AS query, count(*) AS hits, count(*) FILTER (WHERE l_linenumber <> 2) AS with_identity,

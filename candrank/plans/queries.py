@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from candrank.functions import exprs as X
 from candrank.operators import candidates as C
 from candrank.operators import decision as DC
-from candrank.operators import dedup, depth, docking, manifest, replication, select, sequences
+from candrank.operators import dedup, depth, docking, manifest, replication, report, select, sequences
 from candrank.sources import readers
+from candrank.sources.shared import shared_dir
 from candrank.sources.writers import fasta_text
 from candrank.streaming.filter import filter_stream
 
@@ -138,25 +139,39 @@ def multi_table_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_enumeration(spark: SparkSession, d: str) -> DataFrame:
-    """Per part, pairs of its distinct (supplier, order) members i < j of different suppliers."""
+    """Per part, pairs of its distinct (supplier, order) members i < j of different suppliers: how many, and a digest that does not depend on order."""
     members = t(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey").distinct()
-    out = replication.pairs(members, "l_partkey", "l_suppkey", "l_suppkey", "l_orderkey", carry=("l_orderkey",))
-    return out.select("l_partkey", "i_1", "i_2", "l_suppkey_1", "l_suppkey_2", "l_orderkey_1", "l_orderkey_2")
+    found = replication.pairs(members, "l_partkey", "l_suppkey", "l_suppkey", "l_orderkey", carry=("l_orderkey",))
+    parts = zip(("i_1", "i_2", "l_suppkey_1", "l_suppkey_2", "l_orderkey_1", "l_orderkey_2"), (1_000_003, 10_007, 31, 37, 41, 43))
+    mixed = sum(F.col(c).cast("long") * k for c, k in parts) % 1_000_000_007
+    return found.groupBy("l_partkey").agg(F.count("*").alias("pairs"), F.sum(mixed).alias("digest"))
 
 
 def pair_score_strong(spark: SparkSession, d: str) -> DataFrame:
-    """Conversation turns of equal opening, aligned pairwise across conversations: identity, coverage and strong flag."""
-    turns = t(spark, d, "conversations").where(F.col("text").isNotNull()).select("conv_id", "turn", "text", F.lower(F.substring("text", 1, 4)).alias("opening"))
-    first = dedup.first_by(turns, ["opening", "conv_id"], "turn", "text")
-    rank = F.row_number().over(Window.partitionBy("opening").orderBy("conv_id"))
-    near = first.withColumn("k", rank)
-    left, right = (near.select("opening", F.col("conv_id").alias(f"conv_{n}"), F.col("text").alias(f"text_{n}"), (F.col("k") + shift).alias("k")) for n, shift in ((1, 1), (2, 0)))
-    pairs = left.join(right, ["opening", "k"])  # each with the next of its group
-    scored = replication.pair_scores(pairs, ["opening", "conv_1", "conv_2"], "text_1", "text_2", replication.PROTEIN, "aa")
+    """lineage=first six letters of a turn, run=conversation: all pairs of turns of different conversations, each pair of texts aligned: identity, coverage and strong flag."""
+    turns = t(spark, d, "conversations").where(F.col("text").isNotNull()).select(F.lower(F.substring("text", 1, 6)).alias("opening"), "conv_id", "turn", "text")
+    pairs = replication.pairs(turns, "opening", "conv_id", "conv_id", "turn", "text", carry=("turn", "text"))
+    scored = replication.pair_scores(pairs, ["opening", "conv_id_1", "turn_1", "conv_id_2", "turn_2"], "text_1", "text_2", replication.PROTEIN, "aa")
     strong = (F.col("aa_identity") >= 90) & (F.least("aa_coverage_1", "aa_coverage_2") >= 50)
     return scored.withColumn("strong", strong)
 
 
+def candidate_table(spark: SparkSession, d: str) -> DataFrame:
+    """query=part with a frame, contig=part with sizes over 5, annotation from the part's columns, hit=first lineitem of each part; 25 columns."""
+    part = t(spark, d, "part")
+    query = F.concat(F.lit("c"), F.col("p_partkey"), F.when(F.col("p_size") % 2 == 0, F.lit("_frame=1")).otherwise(F.lit("")))
+    run = [F.lit("R1").alias("accession"), F.col("p_brand").alias("target_label"), F.col("p_type").alias("bioproject"), F.col("p_name").alias("organism")]
+    aa = part.select(*run, query.alias("query"), (F.col("p_size") * 5).alias("aa_length"))
+    items = F.concat(query, F.lit("\tscore="), F.when(F.col("p_size") > 10, F.format_string("%.2f", F.col("p_retailprice") - 900)).otherwise(F.lit("")), F.lit("\trdrp_score=80\tpssm_total_score=3\tgene="), F.col("p_type"), F.lit("\torder=ABC\tpp_start="), F.col("p_size"), F.lit("\tpp_end=x\tgroup=g"))
+    annotations = readers.annotations(part.where("p_size > 3").select(F.col("p_partkey").alias("ordinal"), items.alias("value")))
+    names = part.select(F.col("p_partkey").alias("l_partkey"), query.alias("query"))
+    hits = _first_lines(spark, d).join(names, "l_partkey").select("query", "subject", "pident", "qcov", F.lit(50.0).alias("scov"), F.lit(0.001).alias("evalue"), "bitscore")
+    contigs = part.where("p_size > 5").select(F.concat(F.lit("c"), F.col("p_partkey")).alias("id"), F.repeat(F.lit("A"), F.col("p_size")).alias("seq"))
+    made = C.candidate_table(aa, annotations, hits, contigs)
+    r = lambda c: F.round(c, 6).alias(c)
+    return made.select(*(r(c) if c in ("palm_score", "pssm_score", "pident", "qcov", "bitscore") else c for c in made.columns))
+
+
 def lineage_rollup(spark: SparkSession, d: str) -> DataFrame:
     orders = t(spark, d, "orders").withColumn("complete", F.col("o_totalprice") > 1000)
     return replication.lineage_rollup(orders, "o_custkey", "o_orderstatus", "complete", "o_totalprice")
@@ -169,13 +184,26 @@ def depth_from_intervals(spark: SparkSession, d: str) -> DataFrame:
     return depth.depth_from_intervals(e.select(F.col("user_id").alias("reference"), hour.alias("start"), (hour + 1 + k).alias("end")))
 
 
+def alignment_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Events as alignments of some hours with flags; those that depth leaves out do not count."""
+    e = t(spark, d, "events")
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    return depth.alignment_depth(e.select(F.col("user_id").alias("reference"), hour.alias("start"), (hour + 1 + F.col("event_id") % 7).alias("end"), (F.col("event_id") % 4096).alias("flag")))
+
+
+def reference_counts(spark: SparkSession, d: str) -> DataFrame:
+    """references=customers, alignments=events by user with flags."""
+    e = t(spark, d, "events").select(F.col("user_id").alias("reference"), (F.col("event_id") % 4096).alias("flag"))
+    return depth.reference_counts(e, t(spark, d, "customer").select(F.col("c_custkey").alias("reference"), F.length("c_name").alias("length")))
+
+
 def depth_summary(spark: SparkSession, d: str) -> DataFrame:
-    """reference=supplier, pos=ship day from the first day on, depth=lines of that day, length=all days."""
-    lines = t(spark, d, "lineitem").select("l_suppkey", F.unix_date(F.to_date("l_shipdate")).alias("day"))
+    """reference=supplier, pos=ship day from the first day on, depth=lines of that day by return flag, of which the last flag counts, length=all days."""
+    lines = t(spark, d, "lineitem").select("l_suppkey", F.unix_date(F.to_date("l_shipdate")).alias("day"), F.col("l_returnflag").alias("ordinal"))
     range_ = lines.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    daily = lines.groupBy(F.col("l_suppkey").alias("reference"), "day").agg(F.count("*").alias("depth")).crossJoin(F.broadcast(range_))
+    daily = lines.groupBy(F.col("l_suppkey").alias("reference"), "day", "ordinal").agg(F.count("*").alias("depth")).crossJoin(F.broadcast(range_))
     references = t(spark, d, "supplier").select(F.col("s_suppkey").alias("reference")).crossJoin(F.broadcast(range_)).select("reference", (F.col("hi") - F.col("lo") + 1).cast("long").alias("length"))
-    return depth.depth_summary(daily.select("reference", (F.col("day") - F.col("lo") + 1).alias("pos"), "depth"), references)
+    return depth.depth_summary(daily.select("reference", (F.col("day") - F.col("lo") + 1).alias("pos"), "depth", "ordinal"), references, order=("ordinal",))
 
 
 def read_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -192,16 +220,29 @@ def supported_runs(spark: SparkSession, d: str) -> DataFrame:
     return depth.supported_runs(_support(spark, d))
 
 
-def decision_label(spark: SparkSession, d: str) -> DataFrame:
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
     """lineage=part, hits=first lineitem of each flag, motifs=name, type, brand; replication by size."""
-    part = t(spark, d, "part").select(F.col("p_partkey").alias("lineage"), F.col("p_name").alias("motif_A"), F.when(F.col("p_size") > 3, F.col("p_type")).alias("motif_B"), F.col("p_brand").alias("motif_C"))
-    rep = t(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("lineage"), F.when(F.col("p_size") > 20, "strong").otherwise("not_established").alias("cross_run_replication"), F.col("p_size").alias("distinct_runs"), F.col("p_size").alias("strong_cross_run_pairs"))
+    part = t(spark, d, "part").select(F.col("p_partkey").alias("lineage"), F.col("p_name").alias("motif_A"), F.when(F.col("p_size") > 3, F.col("p_type")).alias("motif_B"), F.col("p_brand").alias("motif_C"), (F.col("p_retailprice") / 100).alias("pident"))
+    rep = t(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("lineage"), F.when(F.col("p_size") > 20, "strong").otherwise("not_established").alias("cross_run_replication"), F.col("p_size").alias("distinct_runs"), F.col("p_size").alias("strong_cross_run_pairs"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") * 1.5).alias("minimum_palmdb_identity"))
     hit = lambda flag: _first_lines(spark, d, flag).select(
         F.col("l_partkey").alias("lineage"), F.col("subject").alias("saccver"), "pident", F.col("qcov").alias("qcovs"), "bitscore", F.when(F.col("qcov") > 20, 0.0).otherwise(1.0).alias("evalue"),
         F.col("l_linestatus").alias("sscinames"), F.when(F.col("l_linestatus") == "O", "some Virus").otherwise("cell").alias("stitle"),
     )
-    found = DC.evidence(part, rep, hit("A"), hit("N"), hit("R"), supported_runs(spark, d))
-    return DC.decide(found).select("lineage", "motif_complete", "replication", "supported_run_count", "decision")
+    return DC.evidence(part, rep, hit("A"), hit("N"), hit("R"), supported_runs(spark, d))
+
+
+def decision_label(spark: SparkSession, d: str) -> DataFrame:
+    return DC.decide(_evidence(spark, d)).select("lineage", "motif_complete", "replication", "supported_run_count", "decision")
+
+
+def decision_table(spark: SparkSession, d: str) -> DataFrame:
+    """The final table of 22 text columns over the same evidence."""
+    out = DC.decision_table(_evidence(spark, d))
+    return out.withColumn("lineage", F.col("lineage").cast("string"))
+
+
+def lineage_audit(spark: SparkSession, d: str) -> DataFrame:
+    return report.lineage_audit(decision_table(spark, d))
 
 
 def _annotation_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +347,7 @@ def stream_filter(spark: SparkSession, d: str) -> DataFrame:
     """The sequence filter as a stream over the files of documents, run to its end into the shared folder."""
     path = f"{d}/documents.parquet"
     schema = spark.read.parquet(path).schema
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/candrank-{uuid.uuid4().hex}") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{d}/documents.parque[t]")
     rows = stream.select("doc_id", sequences.clean(F.col("text")).alias("seq"))
     query = filter_stream(rows, sequences.passes(F.col("seq"), 600, 100_000, LETTERS, 0.9), f"{base}/out", f"{base}/checkpoint")

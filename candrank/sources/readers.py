@@ -13,6 +13,18 @@ from candrank.functions.exprs import strip, with_scheme, zip_lists
 HITS_1 = "query string, subject string, pident double, aln_len int, qlen int, slen int, evalue double, bitscore double, qcov double, scov double, qstart int, qend int"
 HITS_2 = "qseqid string, saccver string, pident double, length int, qlen int, slen int, qcovs double, evalue double, bitscore double, staxids string, sscinames string, stitle string"
 
+#: The columns of a run catalogue that are read, and those of a depth table, a published triage table each.
+CATALOGUE = "Run string, LibraryStrategy string, LibrarySource string, size_MB string, BioProject string, ReleaseDate string, ScientificName string, bases string"
+DEPTH = "reference string, pos bigint, depth bigint"
+_SUMMARY = "n int, mean_score double, sd_score double, dual_chain_fraction double, mean_total_contacts double, mean_optn_contacts double, mean_tbk1_contacts double, strong_cleft_fraction double, res50_within_8A_fraction double, mean_dist_res50 double, mean_median_rmsd double"
+PUBLISHED = {
+    "verdict": f"ligand_std string, {_SUMMARY}, low_rmsd_system_fraction double, stage16_preliminary_verdict string",
+    "summary": f"ligand_std string, grid_category string, {_SUMMARY}, systems_low_rmsd_fraction double",
+    "rmsd": "ligand_std string, system string, grid_category string, run_mode string, n_poses int, mean_pairwise_rmsd double, median_pairwise_rmsd double, max_pairwise_rmsd double, pose_cluster_low_rmsd boolean",
+    "decision": f"ligand_std string, {_SUMMARY}, low_rmsd_system_fraction double, stage16_preliminary_verdict string, mean_LE double, mean_heavy_atoms double, recommended_role string, mmgbsa_recommendation string, priority_order int",
+    "triage": "Compound string, `Source herb` string, `Scaffold class` string, Role string, `n poses` int, `Mean score (kcal/mol)` double, SD double, `Ligand eff. (kcal/mol·HA⁻¹)` double, `Heavy atoms` int, `Dual-chain contact %` int, `Strong cleft contact %` int, `Pose repro. (low-RMSD sys %)` int, `Mean OPTN contacts` double, `Mean TBK1 contacts` double, `Mean dist res50 (Å)` double, MW double, cLogP double, `Lipinski viol.` int, `PAINS flag` string",
+}
+
 
 def with_ordinal(df: DataFrame) -> DataFrame:
     """Adds the order of scan: file, block of the file, row within. Only straight after a file scan."""
@@ -70,12 +82,39 @@ def read_table(spark: SparkSession, path: str, schema: str, sep: str = "\t", mus
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", name)
     try:
         return reader.csv(path)
-    except AnalysisException:
-        if must_exist:
+    except AnalysisException as e:
+        if must_exist or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def read_named(spark: SparkSession, paths: list[str], schema: str, sep: str = ",") -> DataFrame:
+    """Columns of schema by the names in the headers of files, in whatever order; those that a file lacks are null, fields that do not parse too.
+
+    No path, or files without a byte, give an empty frame; bytes that are not UTF-8 are replaced.
+    """
+    fields = StructType.fromDDL(schema).fields
+    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(paths) if paths else None
+    if raw is None or not raw.columns:
+        return spark.createDataFrame([], schema)
+    return raw.select(*((F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields))
+
+
+def read_catalogue(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Run catalogues as they come, with header and many columns; only those that selection needs. All are text, as in the files."""
+    return read_named(spark, paths, CATALOGUE)
+
+
+def read_depth(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, reference, pos, depth): the first three fields of each line, without a header."""
+    return hits(with_ordinal(spark.read.text(path)), DEPTH)
+
+
+def read_published(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A published table of PUBLISHED by name."""
+    return read_named(spark, [path], PUBLISHED[table])
+
+
 def keyed_json(documents: DataFrame, value: str, key: str = "key") -> DataFrame:
     """One JSON object whose keys name rows: (position, key, fields of value), in key order of the document."""
     parsed = documents.select(F.from_json("value", f"map<string,{value}>").alias("m"))

@@ -266,7 +266,7 @@ def test_sequence_filter_edges(spark):
     again = df.where("got").withColumn("again", sequences.passes(sequences.clean(F.col("c"))))
     assert again.where("NOT again").isEmpty()
     s = sequences.counters(df, "c", F.col("got")).first()
-    assert (s.records_seen, s.records_kept, s.bases_kept) == (9, 4, 600 + 1000 + 600 + 100_000)
+    assert tuple(s) == (9, 4, 600 + 1000 + 600 + 100_000, 600, 100_000)
 
 
 def test_stream_restarts_without_repeats(spark, tmp_path):
@@ -322,3 +322,181 @@ def test_json_documents_skip_broken_ones(spark, tmp_path):
     assert rows(readers.json_documents(spark, str(tmp_path), "accession string, n map<string,int>"), "accession") == [("A",)]
     keyed = readers.keyed_json(spark.createDataFrame([('{"L2": {"m": ["a"]}, "L1": {"m": []}}',)], "value string"), "struct<m:array<string>>", "lineage")
     assert [(r.lineage, r.m) for r in keyed.orderBy("position").collect()] == [("L2", ["a"]), ("L1", [])]
+
+
+def plain_path(a, b, s):
+    """(score, matches, aligned) of the path with the same choices among equal scores, cell by cell: diagonal, gap in b, gap in a, short gaps first."""
+    neg = float("-inf")
+    h = {(i, j): (0.0, 0, 0) for i in range(len(a) + 1) for j in range(len(b) + 1)}
+    up, left = ({k: (neg, 0, 0) for k in h} for _ in range(2))
+    best = (0.0, 0, 0)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            move = lambda x, by: (x[0] + by, x[1], x[2])
+            up[i, j] = max(move(h[i - 1, j], s.open), move(up[i - 1, j], s.extend), key=lambda x: x[0])
+            left[i, j] = max(move(h[i, j - 1], s.open), move(left[i, j - 1], s.extend), key=lambda x: x[0])
+            d, same = h[i - 1, j - 1], a[i - 1] == b[j - 1]
+            diagonal = (d[0] + (s.match if same else s.mismatch), d[1] + same, d[2] + 1)
+            here = max(diagonal, up[i, j], left[i, j], key=lambda x: x[0])
+            h[i, j] = here if here[0] > 0 else (0.0, 0, 0)
+            if h[i, j][0] > best[0]:
+                best = h[i, j]
+    return best
+
+
+def test_alignment_paths():
+    rnd = random.Random(11)
+    for k in range(80):
+        a = "".join(rnd.choice("ACGT" if k % 2 else "AC") for _ in range(rnd.randint(0, 50)))
+        b = "".join(c for c in a if rnd.random() < 0.8) + "".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 15)))
+        for s in (replication.PROTEIN, replication.NUCLEOTIDE):
+            assert replication.align(a, b, s) == pytest.approx(plain_path(a, b, s)), (a, b)
+
+
+def test_alignment_of_long_texts_takes_little_memory():
+    import tracemalloc
+
+    rnd = random.Random(3)
+    a = "".join(rnd.choice("ACGT") for _ in range(3_000))
+    b = a[:1_000] + "".join(rnd.choice("ACGT") for _ in range(12_000)) + a[1_000:]
+    tracemalloc.start()
+    score, matches, aligned = replication.align(a, b, replication.NUCLEOTIDE)
+    assert score >= 2 * 2_000 and matches >= 2_000 and aligned >= matches and tracemalloc.get_traced_memory()[1] < 10e6
+    tracemalloc.stop()
+
+
+def test_pairs_of_conversations(spark, duck):
+    """All pairs of turns of one beginning and different conversations, each with the plain path's statistics."""
+    from candrank.plans.registry import QUERIES
+
+    def made(texts):
+        found = {}
+        for i, (c1, t1, x) in enumerate(texts):
+            for c2, t2, y in texts[i + 1 :]:
+                if c1 != c2 and x[:6].lower() == y[:6].lower():
+                    score, matches, aligned = plain_path(x, y, replication.PROTEIN)
+                    found[c1, t1, c2, t2] = (score, round(100 * matches / aligned, 3), aligned, round(100 * aligned / len(x), 3), round(100 * aligned / len(y), 3))
+        return found
+
+    import os
+    import tempfile
+
+    rows = [(i // 2, i % 2, f"{'the same beginning' if i % 3 else 'another one'} {'abc' * (i % 5)} and {'x' * (i % 4)}") for i in range(14)] + [(90, 0, None)]
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(os.path.join(folder, "conversations.parquet"))
+    out = QUERIES["pair_score_strong"](spark, f"file://{folder}").collect()
+    got = {(r.conv_id_1, r.turn_1, r.conv_id_2, r.turn_2): (r.aa_score, r.aa_identity, r.aa_aligned, r.aa_coverage_1, r.aa_coverage_2) for r in out}
+    want = made(sorted(r for r in rows if r[2]))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+    assert all(r.strong == (r.aa_identity >= 90 and min(r.aa_coverage_1, r.aa_coverage_2) >= 50) for r in out) and {r.strong for r in out} == {True, False}
+
+
+def test_kmer_prefilter(spark):
+    df = spark.createDataFrame([("l", "a", "abcdefghijklmnop"), ("l", "b", "xxabcdefghijklmnopyy"), ("l", "c", "qrstuvwxyz0123456"), ("m", "d", "abcdefghijklmnop"), ("l", "e", "")], "lineage string, id string, seq string")
+    assert rows(replication.kmer_pairs(df, "lineage", "id", "seq")) == [("l", "a", "b")]
+
+
+def test_depth_of_a_repeated_position_is_the_last(spark):
+    refs = spark.createDataFrame([("r", 2)], "reference string, length long")
+    data = spark.createDataFrame([("r", 1, 7, 0), ("r", 1, 5, 1), ("r", 2, 3, 2)], "reference string, pos long, depth long, ordinal int")
+    r = depth.depth_summary(data, refs, order=("ordinal",)).first()
+    assert (r.breadth_1x, r.mean_depth, r.median_depth, r.zero_bases) == (1.0, 4.0, 4.0, 0)
+    assert depth.depth_summary(data, refs).first().mean_depth == 5.0
+
+
+@pytest.mark.parametrize("width", [1, 3, 1 << 20])
+def test_sweep_in_ranges(spark, width):
+    rnd = random.Random(2)
+    spans = [(r, a, a + rnd.randint(1, 20)) for r in "rs" for a in (rnd.randint(0, 60) for _ in range(30))]
+    got = depth.depth_from_intervals(spark.createDataFrame(spans, "reference string, start int, end int"), width)
+    dense = {(r, p): sum(q == r and a <= p < b for q, a, b in spans) for r in "rs" for p in range(90)}
+    assert {(r.reference, p): r.depth for r in got.collect() for p in range(r.start, r.end)} == {k: v for k, v in dense.items() if v}
+    flagged = spark.createDataFrame([("r", 0, 2, 0), ("r", 0, 2, 0x400), ("r", 1, 3, 0x800)], "reference string, start int, end int, flag int")
+    assert rows(depth.alignment_depth(flagged), "start", "end", "depth") == [(0, 1, 1), (1, 2, 2), (2, 3, 1)]
+    counts = depth.reference_counts(flagged.withColumn("flag", F.col("flag") + F.when(F.col("start") == 1, 4).otherwise(0)), spark.createDataFrame([("r", 9), ("e", 4)], "reference string, length int"))
+    assert rows(counts) == [("e", 4, 0, 0), ("r", 9, 2, 1)]
+
+
+def test_final_table(spark):
+    h = "struct<saccver:string,pident:double,qcovs:double,evalue:double,bitscore:double,sscinames:string,stitle:string>"
+    case = ("L", True, "missing", None, 0, None, None, 61.5, ("v", 90.0, 80.0, 1e-9, 1.0, None, "t"), None, None)
+    df = spark.createDataFrame([case], f"lineage string, motif_complete boolean, replication string, distinct_runs int, supported_run_count int, supported_runs string, minimum_palmdb_identity double, pident double, viral {h}, `any` {h}, nt {h}")
+    out = decision.decision_table(df)
+    assert len(out.columns) == 22
+    assert tuple(out.first()) == ("L", "currently_known_or_near_identical_sequence", "missing", "0", "0", "", "61.500", "v", "90.000", "80.000", "", "t", "", "", "", "", "", "", "", "", "true", "false")
+    from candrank.operators.report import lineage_audit
+
+    assert tuple(lineage_audit(out).first())[2:] == ("0", "0", "v", "90.000/80.000", "NA/NA")
+
+
+def test_catalogue_depth_and_published_tables(spark, tmp_path):
+    (tmp_path / "c.csv").write_bytes(b'Run,spots,BioProject,size_MB,ScientificName\nSRR1,9,P1,12,"Panax, \xff sp."\nSRR2,,,x,\n')
+    got = readers.read_catalogue(spark, [str(tmp_path / "c.csv")])
+    assert rows(got, "Run", "BioProject", "size_MB", "ScientificName", "bases") == [("SRR1", "P1", "12", "Panax, \ufffd sp.", None), ("SRR2", None, "x", None, None)]
+    (tmp_path / "empty.csv").write_text("")
+    assert readers.read_catalogue(spark, []).isEmpty() and readers.read_catalogue(spark, [str(tmp_path / "empty.csv")]).isEmpty()
+    (tmp_path / "d.tsv").write_text("r\t1\t5\textra\nr\t1\t7\nshort\t1\n")
+    assert [tuple(r)[1:] for r in readers.read_depth(spark, str(tmp_path / "d.tsv")).orderBy("ordinal").collect()] == [("r", 1, 5), ("r", 1, 7)]
+    (tmp_path / "t.csv").write_text("Compound,Mean score (kcal/mol),Mean dist res50 (Å),n poses\r\nCoptisine,-6.49,8.2,64\r\n")
+    r = readers.read_published(spark, str(tmp_path / "t.csv"), "triage").first()
+    assert (r["Compound"], r["Mean score (kcal/mol)"], r["Mean dist res50 (Å)"], r["n poses"], r["MW"]) == ("Coptisine", -6.49, 8.2, 64, None)
+
+
+def test_a_bad_schema_is_no_absent_table(spark, tmp_path):
+    with pytest.raises(Exception):
+        readers.read_table(spark, str(tmp_path / "none"), "a nosuchtype")
+
+
+def test_json_documents_and_empty_tables(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(2, "b", None), (1, 'a"', 1.5)], "i int, s string, x double")
+    array = writers.json_array(df, "i")
+    want = [{"i": 1, "s": 'a"', "x": 1.5}, {"i": 2, "s": "b", "x": None}]
+    assert json.loads(array.first().value) == want
+    document = writers.json_document({"include": array, "queries": writers.json_array(df.where("i > 9"), "i")}, {"generated": 'now "x"'})
+    assert json.loads(document.first().value) == {"generated": 'now "x"', "include": want, "queries": []}
+    writers.write_document(document, str(tmp_path / "doc"))
+    assert len(list((tmp_path / "doc").glob("part-*"))) == 1
+    writers.write_table(df.limit(0), str(tmp_path / "none"), one_file=True)
+    assert [f.read_text() for f in (tmp_path / "none").glob("part-*")] == ["i\ts\tx\n"]
+    writers.write_table(df.limit(0), str(tmp_path / "skipped"), skip_empty=True)
+    assert not (tmp_path / "skipped").exists()
+
+
+def test_digest_of_parts_in_order(spark, tmp_path):
+    import hashlib
+
+    for name, data in (("b", b"one\n"), ("a", b"\xfftwo")):
+        (tmp_path / name).write_bytes(data)
+    r = manifest.parts_digest(spark, [str(tmp_path / "b"), str(tmp_path / "a")]).first()
+    assert tuple(r) == (2, 8, hashlib.sha256(b"one\n\xfftwo").hexdigest())
+
+
+def test_poses_that_name_different_atoms(spark):
+    atoms = spark.createDataFrame([("g", 1, 0, 0.0), ("g", 1, 1, 1.0), ("g", 2, 1, 4.0), ("g", 2, 2, 9.0), ("g", 3, 7, 1.0)], "g string, pose int, atom int, x double")
+    r = docking.pose_rmsd(atoms, ["g"], "pose", "atom", ["x"]).first()
+    assert (r.n_poses, r.mean_pairwise_rmsd, r.max_pairwise_rmsd) == (3, 3.0, 3.0)
+
+
+def test_runs_in_their_own_accession(spark):
+    aa = spark.createDataFrame([("R1", "q", 100), ("R2", "q", 100)], "accession string, query string, aa_length int")
+    ann = spark.createDataFrame([("R1", "q", {"score": "80"})], "accession string, id string, attrs map<string,string>")
+    hit = spark.createDataFrame([("R2", "q", "s", 30.0, 80.0, 1.0, 1e-9, 50.0)], "accession string, query string, subject string, pident double, qcov double, scov double, evalue double, bitscore double")
+    nt = spark.createDataFrame([("R1", "q", "ACGT")], "accession string, id string, seq string")
+    out = C.candidate_table(aa, ann, hit, nt)
+    assert len(out.columns) == 25
+    assert rows(out, "accession", "palm_score", "best_palmdb_sotu", "nt_length") == [("R1", 80.0, None, 4), ("R2", None, "s", 0)]
+
+
+def test_no_shared_folder_on_a_cluster_raises(monkeypatch):
+    from types import SimpleNamespace
+
+    from candrank.sources.shared import shared_dir
+
+    conf = {"spark.checkpoint.dir": None}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf[k], set=conf.__setitem__), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="app"))
+    with pytest.raises(ValueError):
+        shared_dir(session)
+    session.sparkContext.master = "local[2]"
+    assert shared_dir(session).startswith("file://") and conf["spark.checkpoint.dir"]
