@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from candrank.llm.common import fresh, id_and_text, materialize, table
+from candrank.llm.common import id_and_text, materialize, table
 
 #: Fixed by the contract: kind, pattern, and the least length of the text that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -172,16 +172,16 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def _with_found(docs: DataFrame, name: str) -> DataFrame:
-    """docs with one more column of what the scan finds."""
+def _with_found(docs: DataFrame) -> DataFrame:
+    """docs with a further column, found: what the scan finds in text, which may be null."""
     kind = to_arrow_schema(StructType.fromDDL(f"x {FOUND}")).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _scan([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=kind)], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=kind)], names=[*batch.schema.names, "found"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{name}` {FOUND}").fields]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(f"found {FOUND}").fields]))
 
 
 def _scan(texts: list[str]) -> list[dict]:
@@ -200,15 +200,15 @@ def _scan(texts: list[str]) -> list[dict]:
 FOUND = "struct<base:array<int>,more:array<struct<start:int,end:int,least:double,k:int,s:string>>,counts:array<bigint>>"
 
 
-def _model(found: DataFrame, name: str, params: BatteryParams) -> Ordinary:
-    sums = found.where(F.col(f"{name}.counts").isNotNull()).select(F.posexplode(f"{name}.counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
+def _model(found: DataFrame, params: BatteryParams) -> Ordinary:
+    sums = found.where(F.col("found.counts").isNotNull()).select(F.posexplode("found.counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(32 * 32 + 9)
     for at, n in sums:
         counts[at] = n
     return Ordinary.learn(counts, params.floor)
 
 
-def discovery_threshold(found: DataFrame, name: str, model: Ordinary, params: BatteryParams) -> float:
+def discovery_threshold(found: DataFrame, model: Ordinary, params: BatteryParams) -> float:
     """Benjamini-Hochberg over all candidates from a histogram of log p-values with a fixed number of bins."""
 
     def depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,7 @@ def discovery_threshold(found: DataFrame, name: str, model: Ordinary, params: Ba
                     n[min(BINS - 1, int(-np.log10(max(p, 1e-300)) * (BINS / 40)))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["bin", "n"])
 
-    rows = found.where(F.size(f"{name}.more") > 0).select(F.col(f"{name}.more").alias("more"))
+    rows = found.where(F.size("found.more") > 0).select(F.col("found.more").alias("more"))
     bins = dict(rows.mapInArrow(depths, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n")).collect())
     total, seen, out = sum(bins.values()), 0, 0.0
     for b in sorted(bins, reverse=True):
@@ -237,15 +237,15 @@ def _spans(x: dict, most: float, model: Ordinary, params: BatteryParams) -> list
     return sorted(out + [(c["start"], 3, c["end"]) for c in x["more"] if p_value(c["s"], c["least"], c["k"], model, params) <= most])
 
 
-def _found(docs: DataFrame, name: str, params: BatteryParams, *unused: str) -> tuple[DataFrame, Ordinary, float]:
-    found = materialize(_with_found(docs, name).drop(*unused), "secrets")
-    model = _model(found, name, params)
-    return found, model, discovery_threshold(found, name, model, params)
+def _found(docs: DataFrame, params: BatteryParams, *unused: str) -> tuple[DataFrame, Ordinary, float]:
+    found = materialize(_with_found(docs).drop(*unused), "secrets")
+    model = _model(found, params)
+    return found, model, discovery_threshold(found, model, params)
 
 
 def secret_spans(docs: DataFrame, params: BatteryParams = BatteryParams()) -> DataFrame:
     """(doc_id, spans array<struct<start,kind,end>>) for each row of docs, by start, then kind; kind numbers index KINDS."""
-    found, model, most = _found(id_and_text(docs), "found", params, "text")
+    found, model, most = _found(id_and_text(docs), params, "text")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -265,13 +265,13 @@ def redact(docs: DataFrame, params: BatteryParams = BatteryParams(), mark: str =
 
     The threshold is that of the corpus, as in secret_spans. What the scan finds is written with the row, so rows need no key.
     """
-    name = fresh(docs, "found")
-    found, model, most = _found(docs, name, params)
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("document")
+    found, model, most = _found(docs.select(rest, "text"), params)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for t, x in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist()):
+            for t, x in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
                 if t:
                     out, at = [], 0
                     for a, _, b in _spans(x, most, model, params):
@@ -280,12 +280,12 @@ def redact(docs: DataFrame, params: BatteryParams = BatteryParams(), mark: str =
                             at = b
                     t = "".join(out) + t[at:]
                 texts.append(t)
-            i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, "text", pa.array(texts, type=batch.schema.field(i).type)).drop_columns([name])
+            yield pa.RecordBatch.from_arrays([batch.column("document"), pa.array(texts, pa.string())], names=["document", "text"])
 
-    empty = (F.size(f"{name}.base") == 0) & (F.size(f"{name}.more") == 0)
-    touched = found.where(~empty).mapInArrow(clean, docs.schema)
-    return touched.unionByName(found.where(empty).drop(name))
+    empty = (F.size("found.base") == 0) & (F.size("found.more") == 0)
+    rows = found.select("document", "text").schema
+    cleaned = found.where(~empty).mapInArrow(clean, rows).unionByName(found.where(empty).select("document", "text"))
+    return cleaned.select(*(F.col("document").getField(c).alias(c) if c != "text" else F.col("text") for c in docs.columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,20 @@ def test_edge_rows(spark):
     for name, stage in P.STAGES:
         docs = materialize(stage(spark, docs, DATA), name)
     assert docs.count() == 0
+
+
+def test_columns_of_any_name_go_through(spark):
+    docs = documents(spark)
+    names = ["__row", "__places", "__n_lines", "__n_dropped", "__kept", "__document", "document", "found", "Found_", "keys", "row", "salt", "leaf", "words", "text2", "a b", "x.y"]
+    for c in names:
+        docs = docs.withColumn(c, docs.source)
+    docs = materialize(docs, "names")
+    for name, stage in P.STAGES[:-1]:
+        out = materialize(stage(spark, docs, DATA), name)
+        assert out.columns == docs.columns, name
+        docs = out
+    assert docs.count() > 0 and P.STAGES[-1][1](spark, docs, DATA).count() > 0
+
+
+def test_stages_are_the_five_in_order():
+    assert [name for name, _ in P.STAGES] == ["quality", "lines", "near", "secrets", "packing"]
