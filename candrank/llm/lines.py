@@ -71,8 +71,11 @@ def templates(lines: DataFrame, params: TemplateParams) -> DataFrame:
     counts = lines.groupBy("leaf", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf", "line").agg(F.count("*").alias("documents"))
     counts = materialize(counts, "line-counts")  # no text yet; it is needed only of leaves that enough documents reach
     reached = counts.groupBy("leaf").agg(F.sum("documents").alias("n")).where(F.col("n") >= params.min_documents)
-    wanted = materialize(counts.join(reached, "leaf"), "leaf-lines")
-    text = lines.select("leaf", "line", "words").join(reached.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("words").alias("words"))
+    reached = _spread(materialize(reached, "leaves"), params.salts)
+    salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(params.salts)).cast("int")
+    wanted = counts.withColumn("salt", salt("line")).join(reached, ["leaf", "salt"]).drop("salt")
+    text = lines.select("leaf", "line", "words", salt("row", "place").alias("salt")).join(reached.select("leaf", "salt"), ["leaf", "salt"], "left_semi")
+    text = text.groupBy("leaf", "line").agg(F.min("words").alias("words"))
     near = materialize(wanted.join(text, ["leaf", "line"]).select("leaf", "line", "documents", "n", F.split("words", " ", -1).alias("tokens")), "leaf-tokens")
     placed = near.select("leaf", "line", "documents", "n", F.posexplode("tokens").alias("place", "token")).where((F.col("place") >= params.depth) & (F.col("token") != FIELD))
     enough = F.greatest(F.lit(params.min_documents), params.leaf_share * F.max("n"))

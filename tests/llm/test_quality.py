@@ -1,7 +1,9 @@
+import math
+import random
 import re
 from collections import Counter
 
-from candrank.llm.quality import CoverParams, FEATURES, keep_good, learn_rules, quality_rules, text_statistics
+from candrank.llm.quality import CoverParams, FEATURES, fit_decision_list, keep_good, learn_rules, quality_rules, text_statistics
 from candrank.llm.registry import QUERIES
 from tests.conftest import DATA
 from tests.llm.edge import ROWS, documents, labels
@@ -53,3 +55,60 @@ def test_edge_rows(spark):
     kept = keep_good(documents(spark), labels(spark, [(1, 1, 0, "x", 1), (1, 0, None, None, None), (None, None, None, None, None)]))
     assert kept.columns == documents(spark).columns
     assert keep_good(documents(spark, []), labels(spark)).count() == 0
+
+
+def holds(rule, x):
+    return all(x[FEATURES.index(f)] <= cut if op == "<=" else x[FEATURES.index(f)] > cut for f, op, cut in rule)
+
+
+def plain_cover(rows, params):
+    """Sequential covering over lists of rows: grow on two thirds, prune on the rest, stop at the first weak rule."""
+    cuts = {}
+    for j, name in enumerate(FEATURES):
+        values = sorted({x[j] for x, _ in rows})
+        cuts[name] = values if len(values) <= params.thresholds else [values[len(values) * i // params.thresholds] for i in range(1, params.thresholds)]
+    tests = [(f, op, cut) for f in FEATURES for cut in cuts[f] for op in ("<=", ">")]
+
+    def gain(rows, more):
+        p0, n0, p1, n1 = (sum(y == v for _, y in r) for r in (rows, more) for v in (True, False))
+        return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else -1.0
+
+    precision = lambda rule, rows: (lambda got: sum(got) / len(got) if got else 0.0)([y for x, y in rows if holds(rule, x)])
+    left, out = [(i, r) for i, r in enumerate(rows)], []
+    while len(out) < params.max_rules:
+        grow, prune = ([r for i, r in left if (i % 3 == 2) == aside] for aside in (False, True))
+        rule, at = [], grow
+        while len(rule) < params.max_conditions and any(not y for _, y in at) and any(y for _, y in at):
+            best = max(tests, key=lambda t: gain(at, [r for r in at if holds([t], r[0])]))
+            if best in rule or gain(at, [r for r in at if holds([best], r[0])]) <= 0:
+                break
+            rule.append(best)
+            at = [r for r in at if holds([best], r[0])]
+        while len(rule) > 1 and precision(rule[:-1], prune) >= precision(rule, prune):
+            rule.pop()
+        covered = [r for _, r in left if rule and holds(rule, r[0])]
+        if len(covered) < params.min_cover or precision(rule, covered) < params.min_precision:
+            break
+        out.append(rule)
+        left = [(i, r) for i, r in left if not holds(rule, r[0])]
+    return out
+
+
+def test_covering_against_plain_lists():
+    rnd = random.Random(4)
+    for k in range(6):
+        rows = []
+        for _ in range(120):
+            x = [round(rnd.random(), 1 + k % 2) for _ in FEATURES]
+            rows.append((x, (x[1] > 0.6 and x[3] <= 0.7) or x[7] > 0.9 or rnd.random() < 0.02 * k))
+        params = CoverParams(thresholds=12)
+        assert [rule for rule, _ in learn_rules(rows, params)] == plain_cover(rows, params)
+
+
+def test_kept_follows_the_list(spark):
+    """The CASE expression over all documents, against the learned rules applied one after another."""
+    docs, told = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rules = fit_decision_list(docs, told)
+    assert rules
+    want = {r.doc_id: not r.base_failed and not any(holds(rule, [r[f] for f in FEATURES]) for rule, _ in rules) for r in text_statistics(docs).collect()}
+    assert {r.doc_id: r.kept for r in quality_rules(docs, told).collect()} == want and set(want.values()) == {True, False}
