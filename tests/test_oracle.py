@@ -7,8 +7,7 @@ import sys
 
 import pytest
 
-from candrank.plans.oracle import ORACLE_SQL
-from candrank.plans.registry import QUERIES
+from candrank.plans.registry import ORACLE_SQL, QUERIES
 from tests.conftest import DATA, ROOT
 
 
