@@ -71,16 +71,27 @@ def _percent(c: Column) -> Column:
     return F.when(c.isNull(), "").otherwise(F.format_string("%.3f", c.cast("double")))
 
 
+#: Columns of best hits and their names in the final table; the tables of hits, their names there, and how many columns.
+HIT_COLUMNS = (("saccver", "accession"), ("pident", "identity"), ("qcovs", "qcov"), ("sscinames", "taxon"), ("stitle", "title"))
+HIT_TABLES = (("viral", "viral", 5), ("any", "unrestricted", 5), ("nt", "nt", 3))
+
+
+def _hit_columns() -> list[Column]:
+    out = []
+    for table, name, n in HIT_TABLES:
+        for c, to in HIT_COLUMNS[:n]:
+            shown = _percent if c in ("pident", "qcovs") else _text
+            out.append(shown(F.col(f"{table}.{c}")).alias(f"{name}_hit_{to}"))
+    return out
+
+
 def decision_table(found: DataFrame, rule: DecisionRule = DecisionRule()) -> DataFrame:
     """The final table of 22 text columns: decision and the evidence behind it; what is missing is empty. found is as evidence() makes it; manifests may have pident."""
     own = F.col("pident") if "pident" in found.columns else F.lit(None).cast("double")
-    hit = lambda h, *columns: [(_percent(F.col(f"{h}.{c}")) if c in ("pident", "qcovs") else _text(F.col(f"{h}.{c}"))).alias(f"{name}_hit_{to}") for name in [{"viral": "viral", "any": "unrestricted", "nt": "nt"}[h]] for c, to in columns]
-    whole = (("saccver", "accession"), ("pident", "identity"), ("qcovs", "qcov"), ("sscinames", "taxon"), ("stitle", "title"))
+    protein = near_identical("viral", rule.protein) | near_identical("any", rule.protein)
     return decide(found, rule).select(
         "lineage", "decision", F.col("replication").alias("assembly_cross_run_replication"), F.coalesce(F.col("distinct_runs").cast("string"), F.lit("0")).alias("assembly_distinct_runs"),
         F.col("supported_run_count").cast("string").alias("raw_supported_run_count"), _text(F.col("supported_runs")).alias("raw_supported_runs"),
-        _percent(F.coalesce(F.col("minimum_palmdb_identity"), own)).alias("minimum_PALMdb_2023_identity"),
-        *hit("viral", *whole), *hit("any", *whole), *hit("nt", *whole[:3]),
-        (near_identical("viral", rule.protein) | near_identical("any", rule.protein)).cast("string").alias("current_near_identical_protein"),
-        near_identical("nt", rule.nucleotide).cast("string").alias("current_near_identical_nucleotide"),
+        _percent(F.coalesce(F.col("minimum_palmdb_identity"), own)).alias("minimum_PALMdb_2023_identity"), *_hit_columns(),
+        protein.cast("string").alias("current_near_identical_protein"), near_identical("nt", rule.nucleotide).cast("string").alias("current_near_identical_nucleotide"),
     )

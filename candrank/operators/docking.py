@@ -89,10 +89,15 @@ def low_rmsd_share(rmsd: DataFrame, by: list[str]) -> DataFrame:
     return rmsd.groupBy(*by).agg(F.avg("median_pairwise_rmsd").alias("mean_median_rmsd"), F.avg(F.col("pose_cluster_low_rmsd").cast("int")).alias("low_rmsd_system_fraction"))
 
 
+#: The parts of a verdict.
+GATE, PASSES, FAILS = "Stage16 contact gate: ", "passes automated dual-chain/contact screen", "fails automated dual-chain/contact screen"
+POSES, STEADY, MOVING = "; pose reproducibility ", "moderate", "variable/manual review needed"
+
+
 def verdict(role: Column, dual: Column, cleft: Column, reproducible: Column, rule: ContactRule = ContactRule()) -> Column:
-    gate = F.when((dual >= rule.gate[0]) & (cleft >= rule.gate[1]), "passes automated dual-chain/contact screen").otherwise("fails automated dual-chain/contact screen")
-    moved = F.when(reproducible >= rule.reproducible, "moderate").otherwise("variable/manual review needed")
-    return F.concat_ws(" | ", role, F.concat(F.lit("Stage16 contact gate: "), gate, F.lit("; pose reproducibility "), moved))
+    gate = F.when((dual >= rule.gate[0]) & (cleft >= rule.gate[1]), PASSES).otherwise(FAILS)
+    moved = F.when(reproducible >= rule.reproducible, STEADY).otherwise(MOVING)
+    return F.concat_ws(" | ", role, F.concat(F.lit(GATE), gate, F.lit(POSES), moved))
 
 
 def final_decision(summary: DataFrame, roles: DataFrame, rule: ContactRule = ContactRule()) -> DataFrame:
