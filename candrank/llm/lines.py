@@ -54,8 +54,8 @@ def _leaf(tokens: Column, depth: int) -> Column:
 
 
 def _spread(df: DataFrame, salts: int) -> DataFrame:
-    """Each row once for each salt, so that a hot key of the other side is dealt to many tasks."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Each row once for each salt, so that a hot key of the other side is dealt to many tasks; never broadcast, as it grows with the corpus."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
 
 
 def masked_lines(docs: DataFrame, params: TemplateParams) -> DataFrame:
