@@ -35,10 +35,11 @@ def test_unsplit_runs(unit):
 
 
 def test_both_libraries_agree_on_code_points():
-    points = [*range(0, 0x3000), *range(0x3000, 0x30000, 7)]
-    texts = [f"a{chr(x)}b1{chr(x)} {chr(x)}{chr(x)} !{chr(x)}?  {chr(x)}" for x in points if not 0xD800 <= x < 0xE000]
-    for text, e in zip(texts, coder().slow.encode_batch(texts, add_special_tokens=False)):
-        assert coder().leaf(text) == e.ids
+    points = [x for x in range(0x30000) if not 0xD800 <= x < 0xE000]
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{chr(x)}b1{chr(x)} {chr(x)}{chr(x)} !{chr(x)}?  {chr(x)}" for x in points[at : at + 20_000]]
+        for text, e in zip(texts, coder().slow.encode_batch(texts, add_special_tokens=False)):
+            assert coder().leaf(text) == e.ids
 
 
 def test_query_on_edge_rows(spark):
