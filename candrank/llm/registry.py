@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from candrank.llm.bpe import op1_bpe
+from candrank.llm.centroids import OP11_SQL, op11_centroid_clusters
 from candrank.llm.language import op5_language_id
 from candrank.llm.lines import OP3_SQL, op3_line_dedup
 from candrank.llm.packing import op8_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_topk": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_topk": OP4_SQL, "op11_centroid_clusters": OP11_SQL}
