@@ -7,6 +7,7 @@ from candrank.llm.centroids import OP11_SQL, op11_centroid_clusters
 from candrank.llm.language import op5_language_id
 from candrank.llm.lines import OP3_SQL, op3_line_dedup
 from candrank.llm.packing import op8_packing
+from candrank.llm.phrases import OP12_SQL, op12_phrase_mining
 from candrank.llm.quality import op7_quality_rules
 from candrank.llm.secrets import op2_secret_scan
 from candrank.llm.simhash import op9_simhash_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_phrase_mining": op12_phrase_mining,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_topk": OP4_SQL, "op11_centroid_clusters": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_topk": OP4_SQL, "op11_centroid_clusters": OP11_SQL, "op12_phrase_mining": OP12_SQL}
