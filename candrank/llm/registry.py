@@ -6,6 +6,7 @@ from candrank.llm.bpe import op1_bpe
 from candrank.llm.centroids import OP11_SQL, op11_centroid_clusters
 from candrank.llm.language import op5_language_id
 from candrank.llm.lines import OP3_SQL, op3_line_dedup
+from candrank.llm.neighbours import op13_nearest_neighbours
 from candrank.llm.packing import op8_packing
 from candrank.llm.phrases import OP12_SQL, op12_phrase_mining
 from candrank.llm.quality import op7_quality_rules
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_topk": OP4_SQL, "op11_centroid_clusters": OP11_SQL, "op12_phrase_mining": OP12_SQL}
