@@ -97,6 +97,15 @@ SELECT CAST(rank AS INTEGER) AS rank, l_orderkey, l_partkey, l_returnflag, round
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, l_orderkey) AS BIGINT) AS i FROM m)
 SELECT a.l_partkey, count(*) AS pairs, CAST(sum((a.i * 1000003 + b.i * 10007 + a.l_suppkey * 31 + b.l_suppkey * 37 + a.l_orderkey * 41 + b.l_orderkey * 43) % 1000000007) AS BIGINT) AS digest
 FROM n a JOIN n b ON a.l_partkey = b.l_partkey AND a.i < b.i AND a.l_suppkey <> b.l_suppkey GROUP BY a.l_partkey""",
+    "pair_candidates": """WITH m AS (SELECT role, conv_id, turn, text, length(text) AS size, CAST(row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS BIGINT) AS i FROM conversations WHERE text IS NOT NULL),
+u AS (SELECT role, i, text[k] AS x, count(*) AS n FROM m, generate_series(1, size) AS g(k) GROUP BY ALL),
+b AS (SELECT role, i, text[k:k + 1] AS x, count(*) AS n FROM m, generate_series(1, size - 1) AS g(k) GROUP BY ALL),
+p AS (SELECT a.role, a.i AS i_1, b.i AS i_2, a.conv_id AS conv_id_1, a.turn AS turn_1, b.conv_id AS conv_id_2, b.turn AS turn_2, greatest(a.size, b.size) AS size
+  FROM m a JOIN m b ON a.role = b.role AND a.i < b.i AND a.conv_id <> b.conv_id AND least(a.size, b.size) >= 0.499995 * greatest(a.size, b.size)),
+su AS (SELECT x.role, x.i AS i_1, y.i AS i_2, sum(least(x.n, y.n)) AS n FROM u x JOIN u y ON x.role = y.role AND x.x = y.x AND x.i < y.i GROUP BY ALL),
+sb AS (SELECT x.role, x.i AS i_1, y.i AS i_2, sum(least(x.n, y.n)) AS n FROM b x JOIN b y ON x.role = y.role AND x.x = y.x AND x.i < y.i GROUP BY ALL)
+SELECT p.role, p.i_1, p.i_2, conv_id_1, turn_1, conv_id_2, turn_2 FROM p JOIN su ON p.role = su.role AND p.i_1 = su.i_1 AND p.i_2 = su.i_2 LEFT JOIN sb ON p.role = sb.role AND p.i_1 = sb.i_1 AND p.i_2 = sb.i_2
+WHERE su.n >= 0.899995 * 0.499995 * size AND coalesce(sb.n, 0) >= (0.899995 - 0.100005 - (2 * 0.899995 - 0.100005) / 5) * 0.499995 * size - 1""",
     "lineage_rollup": """WITH s AS (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ';' ORDER BY o_orderstatus) AS runs, count(*) AS member_count, count(DISTINCT o_orderstatus) AS distinct_runs,
 bool_and(o_totalprice > 1000) AS all_complete, round(min(o_totalprice), 3) AS min_value, round(max(o_totalprice), 3) AS max_value FROM orders GROUP BY o_custkey) SELECT * FROM s""",
     "depth_from_intervals": """WITH i AS (SELECT user_id AS reference, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS s, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events),

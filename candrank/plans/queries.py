@@ -147,6 +147,14 @@ def pair_enumeration(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("l_partkey").agg(F.count("*").alias("pairs"), F.sum(mixed).alias("digest"))
 
 
+def pair_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """lineage=role, run=conversation: all pairs of turns of different conversations that may be strong, by their letters and pairs of adjacent letters."""
+    turns = t(spark, d, "conversations").where(F.col("text").isNotNull()).select("role", "conv_id", "turn", F.concat_ws("_", "conv_id", "turn").alias("query"), "text")
+    kinds = [("query", turns.select(F.col("query").alias("id"), F.col("text").alias("seq")), "aa", replication.PROTEIN)]
+    found = replication.candidate_pairs(turns.drop("text"), "role", "conv_id", ["conv_id", "turn"], kinds, ("turn",))
+    return found.select("role", "i_1", "i_2", "conv_id_1", "turn_1", "conv_id_2", "turn_2")
+
+
 def pair_score_strong(spark: SparkSession, d: str) -> DataFrame:
     """lineage=first six letters of a turn, run=conversation: all pairs of turns of different conversations, each pair of texts aligned: identity, coverage and strong flag."""
     turns = t(spark, d, "conversations").where(F.col("text").isNotNull()).select(F.lower(F.substring("text", 1, 6)).alias("opening"), "conv_id", "turn", "text")
