@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candrank.llm.bpe import VOCABULARY, coder
-from candrank.llm.common import id_and_text, materialize, table
+from candrank.llm.common import id_and_text, materialize, small_batches, table
 
 END_ID = 2
 ROWS_A_BUCKET = 1_000_000
@@ -35,8 +35,8 @@ def pieces(docs: DataFrame, size: int = 1024, vocabulary: str = VOCABULARY) -> D
         c = coder(vocabulary)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.append(c.array(text), np.uint32(END_ID)).astype("<u4", copy=False)
+            for k, text in enumerate(batch.column("text")):  # one at a time
+                ids = np.append(c.array(text.as_py()), np.uint32(END_ID)).astype("<u4", copy=False)
                 cuts = [0, *range((len(ids) - 1) % size + 1, len(ids) + 1, size)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     row.append(k), piece.append(i), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[a:b]))  # noqa: B018
@@ -154,14 +154,15 @@ def plan(histogram: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray,
 
 def pack(docs: DataFrame, size: int = 1024, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each piece with its sequence and its place there."""
-    cut = materialize(pieces(docs, size, vocabulary), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, size, vocabulary).withColumn("number", F.monotonically_increasing_id()), "pieces")
     histogram = dict(cut.groupBy("length").count().collect())
     lengths, ranks, sequences, offsets = plan(histogram, size)
     buckets = max(64, sum(histogram.values()) // ROWS_A_BUCKET)
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "number")
     ranked = cut.withColumn("rank", F.row_number().over(own) - 1).join(sums, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     keys = (lengths << 44) + ranks
 
