@@ -18,7 +18,7 @@ different lines the chance that any two are mixed up is below one in a million.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from candrank.llm.common import WORD_BREAK, materialize, table
 
 FIELD = "<*>"
+#: Lines of one leaf or template that one task takes, at most: more of them are dealt to more salts.
+LINES_A_SALT = 4_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -46,7 +48,8 @@ class TemplateParams:
 def masked(line: Column) -> Column:
     """The line's tokens with one blank between them; tokens with a digit are variable fields."""
     plain = F.trim(F.regexp_replace(line, f"{WORD_BREAK}+", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+    tokens = F.transform(F.split(plain, " ", -1), lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
+    return F.when(plain.rlike("[0-9]"), F.array_join(tokens, " ")).otherwise(plain)
 
 
 def _leaf(tokens: Column, depth: int) -> Column:
@@ -91,24 +94,28 @@ def templates(lines: DataFrame, params: TemplateParams) -> DataFrame:
 def dropped_lines(docs: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
     """(row, doc_id, places): the lines to drop from each row of docs (row, doc_id, text); rows may repeat."""
     lines = masked_lines(docs, params)
+    params = replace(params, salts=max(params.salts, lines.count() // LINES_A_SALT))
     narrow = lines.select("row", "doc_id", "place", "leaf", "line", F.pmod(F.xxhash64("row", "place"), F.lit(params.salts)).cast("int").alias("salt"))
     found = materialize(narrow.join(_spread(templates(lines, params), params.salts), ["leaf", "line", "salt"]).select("template", "row", "doc_id", "place", "salt"), "template-lines")
     pairs = found.groupBy("template", "doc_id").agg(F.lit(1).alias("one"))
     recurring = pairs.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= params.min_documents)
     gone = found.join(_spread(recurring, params.salts), ["template", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return gone.groupBy("row", "doc_id").agg(F.collect_set("place").alias("places"))
+    return gone.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
 def drop_recurring(docs: DataFrame, params: TemplateParams = TemplateParams(), counts: tuple[str, str] | None = None) -> DataFrame:
     """docs with recurring lines dropped from text; all rows and columns stay. counts names two further columns: lines, and lines dropped."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), "doc_id", "text").withColumn("row", F.xxhash64("text"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    rows = docs.select(whole.alias("document"), "doc_id", "text").withColumn("row", F.xxhash64("text"))
     places = dropped_lines(rows.select("row", "doc_id", "text"), params).select(F.col("row").alias("other_row"), F.col("doc_id").alias("other_id"), "places")
+    rows = rows.select("document", "doc_id", "row", F.split("text", "\n", -1).alias("lines"))
     joined = rows.join(places, (F.col("row") == F.col("other_row")) & F.col("doc_id").eqNullSafe(F.col("other_id")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n")
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)
+    # What is left are the runs between dropped lines: one slice each, in time that grows with the lines.
+    before, after = F.concat(F.array(F.lit(-1)), "places"), F.concat("places", F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice("lines", a + 2, b - a - 1)))
+    text = F.array_join(F.when(F.col("places").isNull(), F.col("lines")).otherwise(kept), "\n")
     old = [F.col("document").getField(c).alias(c) if c != "text" else text.alias("text") for c in docs.columns]
-    more = [F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size("places"), F.lit(0)).cast("long")]
+    more = [F.coalesce(F.size("lines"), F.lit(0)).cast("long"), F.coalesce(F.size("places"), F.lit(0)).cast("long")]
     return joined.select(*old, *(x.alias(name) for x, name in zip(more, counts or ())))
 
 

@@ -46,3 +46,17 @@ def test_names_that_clash_and_one_very_common_line(spark):
     out = drop_recurring(docs)
     assert out.columns == docs.columns
     assert sum(r.text.startswith("the very same") for r in out.collect()) == 1
+
+
+def test_very_long_tokens_and_very_many_lines_take_linear_time(spark):
+    import time
+
+    rows = [(i, "a short line that recurs\n" + ("x" * 5_000_000 + " 7 end" if i == 0 else "own"), "en", "s") for i in range(6)]
+    many = "\n".join(w for k in range(250_000) for w in ("the very same line", f"line number {'abcdefghij'[k % 10]} {'q' * (k % 50)} of many"))
+    began = time.time()
+    got = {r.doc_id: r.text for r in drop_recurring(documents(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == "own" for i in range(1, 6))
+    rows = [(9, many, "en", "s")] + [(i, "the very same line", "en", "s") for i in range(8)]
+    out = {r.doc_id: (r.n, r.dropped, r.text) for r in drop_recurring(documents(spark, rows), counts=("n", "dropped")).collect()}
+    assert out[9][:2] == (500_000, 250_000) and out[9][2] == many.replace("the very same line\n", "") and out[0][2] == "the very same line"
+    assert time.time() - began < 150
