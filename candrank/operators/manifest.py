@@ -2,14 +2,59 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candrank.sources.catalogue import opened
+
+
+CHUNK = 1 << 20
+#: Kinds of store that a task opens by itself.
+CHUNKED = ("file", "s3", "gs", "hdfs")
+DIGESTS = "bytes bigint, sha256 string, md5 string"
+
+
+def fold(paths: list[str], chunk: int = CHUNK) -> tuple[int, str, str]:
+    """(bytes, sha256, md5) of files, one after another, in the memory of one chunk."""
+    sha256, md5, size = hashlib.sha256(), hashlib.md5(usedforsecurity=False), 0
+    for path in paths:
+        files, place = opened(path)
+        with files.open_input_stream(place, buffer_size=0) as f:
+            while part := f.read(chunk):
+                sha256.update(part)
+                md5.update(part)
+                size += len(part)
+    return size, sha256.hexdigest(), md5.hexdigest()
+
+
+def digests(lists: DataFrame, name: str, paths: str) -> DataFrame:
+    """(name, bytes, sha256, md5) for each row of lists: a name and an array of paths, whose files are taken in that order. A task reads them in chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                size, sha256, md5 = fold(batch.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([size], pa.int64()), pa.array([sha256]), pa.array([md5])], names=[name, "bytes", "sha256", "md5"])
+
+    return lists.select(name, paths).mapInArrow(run, f"{name} {lists.schema[name].dataType.simpleString()}, {DIGESTS}")
+
 
 def file_manifest(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, bytes, sha256, md5) of every file below path, by path. A file is one value, so one of 2 GiB or more raises."""
+    """(path, bytes, sha256, md5) of every file below path, by path, of whatever size; no content goes through Spark's rows.
+
+    Where only Spark's readers open a store, a file is one value, and one of 2 GiB or more raises.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")).orderBy("path")
+    one = files.select("path").first()
+    if one and one.path.split(":")[0] not in CHUNKED:
+        return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")).orderBy("path")
+    # The number of tasks is Spark's; each file is one task's, and tasks take files by a hash of the path.
+    lists = files.select("path", F.array("path").alias("paths")).repartition("path")
+    return digests(lists, "path", "paths").orderBy("path")
 
 
 def verify(expected: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:
@@ -20,9 +65,6 @@ def verify(expected: DataFrame, actual: DataFrame, key: str, digest: str) -> Dat
 
 
 def parts_digest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(parts, bytes, sha256) of the files of paths, one after another in that order, as one file. Together they are one value."""
-    order = F.array_position(F.array(*map(F.lit, paths)), F.regexp_replace("path", "^file:/+", "/"))
-    files = spark.read.format("binaryFile").load(paths).select(order.alias("place"), "length", "content")
-    ordered = F.array_sort(F.collect_list(F.struct("place", "content")))
-    whole = F.aggregate(ordered, F.lit(b""), lambda s, x: F.concat(s, x["content"]))
-    return files.agg(F.count("*").alias("parts"), F.sum("length").alias("bytes"), F.sha2(whole, 256).alias("sha256"))
+    """(parts, bytes, sha256) of the files of paths, one after another in that order, as one file; one task reads them in chunks."""
+    lists = spark.createDataFrame([(len(paths), paths)], "parts bigint, paths array<string>")
+    return digests(lists, "parts", "paths").select("parts", "bytes", "sha256")

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candrank.operators import decision, dedup, depth, docking, homologs, replication, report, select
+from candrank.operators import decision, dedup, depth, docking, homologs, manifest, replication, report, select
 from candrank.plans.queries import LINE_ORDER, _candidates, pose_rmsd, t, verdict_table
-from candrank.sources import metadata, readers, writers
+from candrank.sources import catalogue, metadata, readers, writers
 from candrank.sources.shared import shared_dir
+from candrank.streaming import landing
 
 
 def _folder(spark: SparkSession) -> str:
@@ -177,10 +178,62 @@ def near_identical(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(F.count_if("known").alias("known"), F.count("*").alias("n"))
 
 
+def bundle_files(spark: SparkSession, d: str) -> DataFrame:
+    """The bundles of homolog_bundles as one file for each part, read again in the order of the files."""
+    to = _folder(spark)
+    queries = t(spark, d, "part").select(F.concat(F.lit("p "), F.col("p_partkey")).alias("id"), F.upper("p_name").alias("seq"))
+    ranked = dedup.top_n_distinct(_hits(spark, d).where("qseqid <> ''"), "qseqid", "saccver", 4, "ordinal")
+    sequences = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("header"), F.lit("M").alias("seq"))
+    homologs.write_bundles(homologs.bundles(queries, ranked, sequences), to)
+    return homologs.read_bundles(spark, to).select("query", F.col("place").cast("long").alias("place"), "header")
+
+
+def _dated_runs(spark: SparkSession, d: str) -> DataFrame:
+    """orders as a run catalogue: organism=status, label=priority, strategy and source from keys."""
+    o, text = t(spark, d, "orders"), lambda c: F.col(c).cast("string")
+    return o.select(
+        F.col("o_orderpriority").alias("label"), F.concat(F.lit("SRR"), F.col("o_orderkey")).alias("run"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("release_date"), F.col("o_orderstatus").alias("organism"),
+        F.when(F.col("o_orderkey") % 3 == 0, "RNA-Seq").otherwise("WGS").alias("library_strategy"), F.when(F.col("o_orderkey") % 2 == 0, "TRANSCRIPTOMIC").alias("library_source"), text("o_totalprice").alias("size_mb"), text("o_custkey").alias("bioproject"),
+    )
+
+
+def catalogue_pushed(spark: SparkSession, d: str) -> DataFrame:
+    """The search of a catalogue in files: organisms and dates are pushed into the source, strategy or source stays with Spark; the 50 newest of each label."""
+    to = _folder(spark)
+    catalogue.write_catalogue(_dated_runs(spark, d), to)
+    runs = catalogue.read_catalogue_folder(spark, to).where((F.col("library_strategy") == "RNA-Seq") | (F.col("library_source") == "TRANSCRIPTOMIC"))
+    return select.catalogue_filter(runs, ["O", "F"], "1995-01-15", "1996-11-30", 50).select("label", "run", "release_date", "organism", "library_strategy", "library_source", "bioproject")
+
+
+def incremental_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that land as files in two drops, each taken by the stream once; the first 50 over all that has landed."""
+    base = _folder(spark)
+    rows = _candidates(spark, d)
+    for drop in (0, 1):
+        rows.where(F.col("p_partkey") % 2 == drop).write.mode("append").parquet(f"{base}/drops")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/drops")
+        landing.land(stream, f"{base}/landed", f"{base}/checkpoint").awaitTermination()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    found = landing.landed(spark, f"{base}/landed", schema).select("*", F.round("pident", 3).cast("decimal(9,3)").alias("identity"), F.round("palm_score", 3).cast("decimal(9,3)").alias("score"))
+    return report.ranked_report(found, 50, ["p_partkey", "subject", "identity", "score", "novelty_screen"], "p_partkey")
+
+
+def file_digests(spark: SparkSession, d: str) -> DataFrame:
+    """One file for each supplier, with its digests, and the digest of all of them one after another."""
+    to = _folder(spark)
+    rows = t(spark, d, "supplier").select("s_suppkey", F.concat_ws("|", "s_name", F.col("s_acctbal").cast("decimal(15,2)")).alias("value"))
+    rows.repartition("s_suppkey").write.partitionBy("s_suppkey").text(to)
+    key = F.regexp_extract("path", "s_suppkey=([0-9]+)/", 1).cast("long")
+    files = manifest.file_manifest(spark, to).select(key.alias("supplier"), "path", "bytes", "sha256", "md5")
+    parts = files.agg(F.transform(F.array_sort(F.collect_list(F.struct("supplier", "path"))), lambda x: x["path"]).alias("paths")).select(F.lit(-1).cast("long").alias("supplier"), "paths")
+    return files.drop("path").unionByName(manifest.digests(parts, "supplier", "paths"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         replication_summary, homolog_lists, homolog_bundles, headline, ranked_report, flag_counts, low_rmsd_share, pose_contacts, published, table_roundtrip,
         depth_scan, hit_table_2, run_files, json_roundtrip, motif_table, usable_runs, near_identical,
+        bundle_files, catalogue_pushed, incremental_rank, file_digests,
     )
 }

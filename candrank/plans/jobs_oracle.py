@@ -54,5 +54,19 @@ SELECT run_accession, url, '' AS md5, '' AS bytes, read_count FROM x""",
     "motif_table": f"WITH {_MEMBERS} SELECT CASE l_returnflag WHEN 'R' THEN 'ACB' WHEN 'A' THEN 'CAB' ELSE 'ABC' END AS \"pssm_ABC\", count(*) AS members, count(*) FILTER (WHERE complete) AS complete FROM m GROUP BY 1",
     "usable_runs": """SELECT 'ERR' || o_orderkey AS run, floor(o_totalprice / 50) AS size_mb, 'unknown' AS bioproject FROM orders
 WHERE o_orderstatus <> 'P' AND (o_orderstatus = 'O' OR o_orderkey % 3 = 0) AND floor(o_totalprice / 50) <= 4500""",
+    "bundle_files": f"""WITH {_RANKED}
+SELECT 'p_' || p_partkey AS query, CAST(0 AS BIGINT) AS place, 'p ' || p_partkey || '|CANDIDATE' AS header FROM part
+UNION ALL SELECT 'p_' || l_partkey, r, s_name FROM c JOIN supplier ON l_suppkey = s_suppkey WHERE r <= 4""",
+    "catalogue_pushed": """WITH r AS (SELECT o_orderpriority AS label, 'SRR' || o_orderkey AS run, strftime(o_orderdate, '%Y-%m-%d') AS release_date, o_orderstatus AS organism,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'RNA-Seq' ELSE 'WGS' END AS library_strategy, CASE WHEN o_orderkey % 2 = 0 THEN 'TRANSCRIPTOMIC' END AS library_source, CAST(o_custkey AS VARCHAR) AS bioproject FROM orders)
+SELECT label, run, release_date, organism, library_strategy, library_source, bioproject FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY release_date DESC, run) AS k FROM r
+  WHERE organism IN ('O', 'F') AND release_date BETWEEN '1995-01-15' AND '1996-11-30' AND (library_strategy = 'RNA-Seq' OR library_source = 'TRANSCRIPTOMIC')) WHERE k <= 50""",
+    "incremental_rank": f"""WITH {_CANDIDATES}, o AS (SELECT *, row_number() OVER (ORDER BY high_interest_screen DESC, coalesce(pident, -1), palm_score DESC, aa_length DESC, p_partkey) AS rank FROM c)
+SELECT CAST(rank AS INTEGER) AS rank, CAST(p_partkey AS VARCHAR) AS p_partkey, coalesce(CAST(subject AS VARCHAR), 'NA') AS subject, coalesce(CAST(CAST(round(pident, 3) AS DECIMAL(9, 3)) AS VARCHAR), 'NA') AS identity,
+coalesce(CAST(CAST(round(palm_score, 3) AS DECIMAL(9, 3)) AS VARCHAR), 'NA') AS score, novelty_screen FROM o WHERE rank <= 50""",
+    "file_digests": """WITH v AS (SELECT s_suppkey, s_name || '|' || CAST(CAST(s_acctbal AS DECIMAL(15, 2)) AS VARCHAR) || chr(10) AS value FROM supplier),
+f AS (SELECT CAST(s_suppkey AS BIGINT) AS supplier, value FROM v UNION ALL SELECT -1, string_agg(value, '' ORDER BY s_suppkey) FROM v)
+SELECT supplier, strlen(value) AS bytes, sha256(value) AS sha256, md5(value) AS md5 FROM f""",
     "near_identical": "SELECT l_returnflag, count(*) FILTER (WHERE l_discount * 1000 >= 90 AND l_quantity * 2 >= 80) AS known, count(*) AS n FROM lineitem GROUP BY l_returnflag",
 }
