@@ -85,6 +85,23 @@ def alignment_depth(alignments: DataFrame) -> DataFrame:
     return depth_from_intervals(alignments.where(lacks_flags(F.col("flag"), NOT_IN_DEPTH)))
 
 
+def reference_coverage(alignments: DataFrame, references: DataFrame, width: int = RANGE) -> DataFrame:
+    """(reference, length, reads, covered_bases, coverage, mean_depth, mean_mapq) of every reference, from alignments (reference, start, end, flag, mapq).
+
+    What depth leaves out is left out; intervals are cut to the reference, and those of unknown references ignored. coverage is
+    a percentage; a reference without reads has zeros. Base qualities are no column of alignments, so their mean is not given.
+    """
+    known = alignments.where(lacks_flags(F.col("flag"), NOT_IN_DEPTH)).join(references.select("reference", "length"), "reference")
+    reads = known.groupBy("reference").agg(F.count("*").alias("reads"), F.avg("mapq").alias("mapq"))
+    inside = known.select("reference", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "length").alias("end")).where(F.col("start") < F.col("end"))
+    size = F.col("end") - F.col("start")
+    bases = depth_from_intervals(inside, width).groupBy("reference").agg(F.sum(size).alias("covered"), F.sum(size * F.col("depth")).alias("total"))
+    out = references.join(reads, "reference", "left").join(bases, "reference", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    share = lambda c, by: F.round(F.coalesce(F.try_divide(F.col(c).cast("double") * by, F.col("length")), F.lit(0.0)), 6)
+    return out.select("reference", "length", zero("reads").alias("reads"), zero("covered").alias("covered_bases"), share("covered", 100).alias("coverage"), share("total", 1).alias("mean_depth"), F.round(F.coalesce("mapq", F.lit(0.0)), 6).alias("mean_mapq"))
+
+
 def reference_counts(alignments: DataFrame, references: DataFrame) -> DataFrame:
     """(reference, length, mapped, unmapped): every reference, also without alignments (reference, flag)."""
     unmapped = has_flags(F.col("flag"), UNMAPPED)

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candrank.operators import decision, dedup, depth, docking, homologs, manifest, replication, report, select
+from candrank.functions import sql
+from candrank.operators import decision, dedup, depth, docking, groups, homologs, manifest, replication, report, select
 from candrank.plans.queries import LINE_ORDER, _candidates, pose_rmsd, t, verdict_table
 from candrank.sources import catalogue, metadata, readers, writers
 from candrank.sources.shared import shared_dir
@@ -229,11 +230,61 @@ def file_digests(spark: SparkSession, d: str) -> DataFrame:
     return files.drop("path").unionByName(manifest.digests(parts, "supplier", "paths"))
 
 
+def running_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as header lines with two kinds of mark, their lines below them, in text files; each line finds its header again."""
+    to = _folder(spark)
+    head = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("line"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "> ").otherwise(";"), F.col("o_orderkey")).alias("value"))
+    body = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.concat_ws("|", "l_linenumber", F.col("l_quantity").cast("int")).alias("value"))
+    known = body.join(head.select("k"), "k", "left_semi")
+    head.unionByName(known).repartition("k").sortWithinPartitions("k", "line", "value").select("value").write.text(to)
+    lines = groups.running_groups(readers.with_ordinal(spark.read.text(to)), F.col("value").rlike("^[>;]"))
+    quantity = F.substring_index("value", "|", -1)
+    made = lines.groupBy("ordinal.file_path", "number").agg(F.first("header").alias("header"), F.count_if(~F.col("is_header")).alias("lines"), F.coalesce(F.sum(F.when(~F.col("is_header"), quantity.try_cast("bigint"))), F.lit(0)).alias("quantity"))
+    return made.select("header", "lines", "quantity")
+
+
+def keyed_variant(spark: SparkSession, d: str) -> DataFrame:
+    """A document of three values for each event, of mixed types, some that do not parse: how many values of each key and type, and bad documents."""
+    e = F.col("event_id")
+    mixed = F.when(e % 5 == 0, "1.5").when(e % 5 == 1, '"x"').when(e % 5 == 2, "null").when(e % 5 == 3, "[1, 2]").otherwise("7")
+    whole = F.concat(F.lit('{"z": '), "props", F.lit(', "n": '), mixed, F.lit(', "id": '), e, F.lit("}"))
+    documents = t(spark, d, "events").where(F.col("props").isNotNull()).select(F.when(e % 7 == 0, F.lit('{"z": ')).when(e % 11 == 0, F.lit("[1]")).otherwise(whole).alias("value"))
+    rows, bad = readers.keyed_variant(documents)
+    number = F.when(F.col("key") == "id", F.expr("try_variant_get(value, '$', 'bigint')"))
+    counted = rows.groupBy("key", "kind", "position").agg(F.count("*").alias("n"), F.coalesce(F.sum(number), F.lit(0)).alias("ids"))
+    return counted.unionByName(bad.agg(F.lit("bad").alias("key"), F.lit("").alias("kind"), F.lit(-1).alias("position"), F.count("*").alias("n"), F.lit(0).cast("long").alias("ids")))
+
+
+def sql_novelty(spark: SparkSession, d: str) -> DataFrame:
+    """The labels of candidates and how many have each, asked in SQL text, with numbers that come as text."""
+    sql.register(spark)
+    _candidates(spark, d).select(F.col("pident").cast("string").alias("pident"), F.col("qcov").cast("string").alias("qcov")).createOrReplaceTempView("candrank_candidates")
+    return spark.sql("SELECT novelty_label(tolerant_number(pident), tolerant_number(qcov)) AS novelty_screen, count(*) AS n FROM candrank_candidates GROUP BY 1")
+
+
+def sql_homologs(spark: SparkSession, d: str) -> DataFrame:
+    """The first four distinct suppliers of each part, asked in SQL text by a table function over partitions."""
+    sql.register(spark)
+    _hits(spark, d).where("qseqid <> ''").createOrReplaceTempView("candrank_hits")
+    return spark.sql("SELECT safe_name(key) AS name, rank, value FROM first_distinct(TABLE(candrank_hits) PARTITION BY (qseqid) ORDER BY (ordinal), 'qseqid', 'saccver', 4)")
+
+
+def reference_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """reference=part of three times its size, alignments=lines with flags and qualities from keys."""
+    start = F.floor("l_quantity") - 3
+    rows = t(spark, d, "lineitem").select(F.col("l_partkey").alias("reference"), start.alias("start"), (start + F.col("l_linenumber") * 3).alias("end"), (F.col("l_orderkey") % 4096).alias("flag"), (F.col("l_suppkey") % 61).alias("mapq"))
+    return depth.reference_coverage(rows, t(spark, d, "part").select(F.col("p_partkey").alias("reference"), (F.col("p_size") * 3).cast("long").alias("length")))
+
+
+def flag_summary(spark: SparkSession, d: str) -> DataFrame:
+    return report.flag_summary(t(spark, d, "events").select("event_type", (F.col("event_id") % 4096).alias("flag")), "event_type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         replication_summary, homolog_lists, homolog_bundles, headline, ranked_report, flag_counts, low_rmsd_share, pose_contacts, published, table_roundtrip,
         depth_scan, hit_table_2, run_files, json_roundtrip, motif_table, usable_runs, near_identical,
-        bundle_files, catalogue_pushed, incremental_rank, file_digests,
+        bundle_files, catalogue_pushed, incremental_rank, file_digests, running_groups, keyed_variant, sql_novelty, sql_homologs, reference_coverage, flag_summary,
     )
 }

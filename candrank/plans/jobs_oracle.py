@@ -68,5 +68,29 @@ coalesce(CAST(CAST(round(palm_score, 3) AS DECIMAL(9, 3)) AS VARCHAR), 'NA') AS
     "file_digests": """WITH v AS (SELECT s_suppkey, s_name || '|' || CAST(CAST(s_acctbal AS DECIMAL(15, 2)) AS VARCHAR) || chr(10) AS value FROM supplier),
 f AS (SELECT CAST(s_suppkey AS BIGINT) AS supplier, value FROM v UNION ALL SELECT -1, string_agg(value, '' ORDER BY s_suppkey) FROM v)
 SELECT supplier, strlen(value) AS bytes, sha256(value) AS sha256, md5(value) AS md5 FROM f""",
+    "running_groups": """SELECT CASE WHEN o_orderkey % 2 = 0 THEN '> ' ELSE ';' END || o_orderkey AS header, count(l_orderkey) AS lines, CAST(coalesce(sum(CAST(trunc(l_quantity) AS BIGINT)), 0) AS BIGINT) AS quantity
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
+    "keyed_variant": """WITH e AS (SELECT event_id AS id, event_id % 7 = 0 OR event_id % 11 = 0 AS bad FROM events WHERE props IS NOT NULL),
+r AS (SELECT 'z' AS key, 'OBJECT' AS kind, 0 AS position, 0 AS v FROM e WHERE NOT bad
+UNION ALL SELECT 'n', CASE id % 5 WHEN 0 THEN 'DECIMAL' WHEN 1 THEN 'STRING' WHEN 2 THEN 'VOID' WHEN 3 THEN 'ARRAY' ELSE 'BIGINT' END, 1, 0 FROM e WHERE NOT bad
+UNION ALL SELECT 'id', 'BIGINT', 2, id FROM e WHERE NOT bad)
+SELECT key, kind, CAST(position AS INTEGER) AS position, count(*) AS n, CAST(sum(v) AS BIGINT) AS ids FROM r GROUP BY ALL UNION ALL SELECT 'bad', '', -1, count(*), 0 FROM e WHERE bad""",
+    "sql_novelty": _FIRST["novelty_distribution"],
+    "sql_homologs": f"WITH {_RANKED} SELECT 'p_' || l_partkey AS name, CAST(r AS INTEGER) AS rank, CAST(l_suppkey AS VARCHAR) AS value FROM c WHERE r <= 4",
+    "reference_coverage": """WITH a AS (SELECT l_partkey AS k, CAST(floor(l_quantity) AS BIGINT) - 3 AS s, CAST(floor(l_quantity) AS BIGINT) - 3 + l_linenumber * 3 AS e, l_suppkey % 61 AS q FROM lineitem WHERE (l_orderkey % 4096) & 1796 = 0),
+p AS (SELECT k, unnest(generate_series(s, e - 1)) AS pos FROM a),
+g AS (SELECT k, count(*) AS n, count(DISTINCT pos) AS covered FROM p JOIN part ON k = p_partkey WHERE pos >= 0 AND pos < p_size * 3 GROUP BY k),
+r AS (SELECT k, count(*) AS reads, avg(q) AS q FROM a GROUP BY k)
+SELECT p_partkey AS reference, CAST(p_size * 3 AS BIGINT) AS length, coalesce(reads, 0) AS reads, coalesce(covered, 0) AS covered_bases, coalesce(round(covered * 100 / (p_size * 3), 6), 0) AS coverage,
+coalesce(round(n / (p_size * 3), 6), 0) AS mean_depth, coalesce(round(r.q, 6), 0) AS mean_mapq FROM part LEFT JOIN g ON p_partkey = g.k LEFT JOIN r ON p_partkey = r.k""",
+    "flag_summary": "WITH f AS (SELECT event_type, event_id % 4096 AS flag FROM events) "
+    + " UNION ALL ".join(
+        f"SELECT event_type, '{name}' AS category, count(*) FILTER (WHERE {c} AND flag & 512 = 0) AS passed, count(*) FILTER (WHERE {c} AND flag & 512 = 512) AS failed FROM f GROUP BY event_type"
+        for name, c in (
+            ("total", "TRUE"), ("primary", "flag & 2304 = 0"), ("secondary", "flag & 256 = 256"), ("supplementary", "flag & 2304 = 2048"), ("duplicates", "flag & 1024 = 1024"), ("primary duplicates", "flag & 3328 = 1024"),
+            ("mapped", "flag & 4 = 0"), ("primary mapped", "flag & 2308 = 0"), ("paired", "flag & 2305 = 1"), ("read1", "flag & 2369 = 65"), ("read2", "flag & 2433 = 129"), ("properly paired", "flag & 2311 = 3"),
+            ("with itself and mate mapped", "flag & 2317 = 1"), ("singletons", "flag & 2317 = 9"),
+        )
+    ),
     "near_identical": "SELECT l_returnflag, count(*) FILTER (WHERE l_discount * 1000 >= 90 AND l_quantity * 2 >= 80) AS known, count(*) AS n FROM lineitem GROUP BY l_returnflag",
 }

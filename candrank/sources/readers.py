@@ -121,6 +121,21 @@ def keyed_json(documents: DataFrame, value: str, key: str = "key") -> DataFrame:
     return parsed.select(F.posexplode(F.map_entries("m")).alias("position", "e")).select("position", F.col("e.key").alias(key), "e.value.*")
 
 
+def keyed_variant(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad) of documents (value), each one JSON object whose keys name rows of whatever types.
+
+    rows: (position, key, value, kind), position in key order of the document, value a VARIANT, kind its type. bad: the
+    documents (value) that do not parse, repeat a key, or are no object; they give no rows. Null documents go to bad too.
+    """
+    parsed = documents.select("value", F.try_parse_json("value").alias("whole"))
+    is_object = F.coalesce(F.schema_of_variant("whole").startswith("OBJECT"), F.lit(False))
+    good = parsed.where(is_object).select("whole", F.json_object_keys("value").alias("keys"))
+    each = good.lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("whole").outer()).select(F.col("key"), F.col("value")))
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    rows = each.select((F.array_position("keys", F.col("key")) - 1).cast("int").alias("position"), "key", "value", kind.alias("kind"))
+    return rows, parsed.where(~is_object).select("value")
+
+
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document for each file; documents that do not parse are skipped."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
