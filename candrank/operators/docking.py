@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candrank.sources.shared import stored
+
 POSE = ["ligand_std", "system", "grid_category", "run_mode", "seed"]
 GROUP = POSE[:-1]
 
@@ -31,16 +33,74 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(sum((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in "xyz"))
 
 
-def within(points: DataFrame, others: DataFrame, key: list[str], radius: float) -> DataFrame:
-    """Distance join: rows of points and others with equal key no farther apart than radius.
+#: A crowded cell is halved along each axis so many times at most.
+HALVINGS = 4
+_CELL, _LEAF, _FINE = ("cx", "cy", "cz"), ("lx", "ly", "lz"), ("fx", "fy", "fz")
 
-    Both go into cells of that size; each point looks at the 27 cells around it, so the join is on key and cell.
-    """
+
+def _around(points: DataFrame, key: list[str], radius: float) -> DataFrame:
+    """(key, a, cell): each point once for each of the 27 cells around it."""
     around = F.array(*[F.struct(*(F.lit(d).alias(f"d{c}") for c, d in zip("xyz", (x, y, z)))) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
     a = points.select(*key, F.struct(*points.columns).alias("a"), *_cells(radius), F.explode(around).alias("d"))
-    a = a.select(*key, "a", *((F.col(f"c{c}") + F.col(f"d.d{c}")).alias(f"c{c}") for c in "xyz"))
-    b = others.select(*key, F.struct(*others.columns).alias("b"), *_cells(radius))
-    return a.join(b, [*key, "cx", "cy", "cz"]).withColumn("distance", distance("a", "b")).where(F.col("distance") <= radius).select(*key, "a", "b", "distance")
+    return a.select(*key, "a", *((F.col(f"c{c}") + F.col(f"d.d{c}")).alias(f"c{c}") for c in "xyz"))
+
+
+def _reaches(radius: float, depth: Column, leaf: list[Column]) -> Column:
+    """Whether a box (of a cell, at a depth) has a place within radius of a, with room for rounding."""
+    side, off = F.lit(radius) / F.pow(F.lit(2.0), depth), []
+    for c, i in zip("xyz", leaf):
+        x, low = F.col(f"a.{c}"), F.col(f"c{c}") * F.lit(radius) + i * side
+        off.append(F.greatest(low - x, x - low - side, F.lit(0.0)) - F.abs(x) * 1e-12)
+    return sum(F.greatest(o, F.lit(0.0)) * F.greatest(o, F.lit(0.0)) for o in off) <= (radius * (1 + 1e-9)) ** 2
+
+
+def dealt_cells(points: DataFrame, others: DataFrame, key: list[str], radius: float, crowded: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(points, others, keys of their join) where no key has many more than crowded rows of either side.
+
+    Cells that hold more than crowded of others are halved along each axis, again and again, as far as their counts ask for it; a
+    point near a border is copied to each part within the radius. Parts that are still crowded, since their rows lie in one spot or
+    since points crowd there, are dealt in blocks: each block of points meets each block of others.
+    """
+    fine = [F.least(F.lit((1 << HALVINGS) - 1), F.greatest(F.lit(0), F.floor((F.col(c) / radius - F.floor(F.col(c) / radius)) * (1 << HALVINGS)).cast("int"))).alias(f"f{c}") for c in "xyz"]
+    b = others.select(*key, F.struct(*others.columns).alias("b"), *_cells(radius), *fine)
+    counts = b.groupBy(*key, *_CELL, *_FINE).agg(F.count("*").alias("n"))
+    depth = F.lit(HALVINGS)
+    for d in reversed(range(HALVINGS)):
+        part = Window.partitionBy(*key, *_CELL, *(F.shiftright(c, HALVINGS - d) for c in _FINE))
+        depth = F.when(F.sum("n").over(part) <= crowded, F.lit(d)).otherwise(depth)
+    leaf = [F.expr(f"shiftright({f}, {HALVINGS} - depth)").alias(x) for f, x in zip(_FINE, _LEAF)]
+    parts = stored(counts.withColumn("depth", depth).select(*key, *_CELL, *_FINE, "depth", *leaf, "n"), "cells")
+    leaves = parts.groupBy(*key, *_CELL, "depth", *_LEAF).agg(F.sum("n").alias("n"))
+    whole = [F.coalesce(c, F.lit(0)).alias(c) for c in ("depth", *_LEAF)]
+    b = b.join(parts.where("depth > 0").drop("n"), [*key, *_CELL, *_FINE], "left").select(*key, "b", *_CELL, *whole)
+    halved = leaves.where("depth > 0").groupBy(*key, *_CELL).agg(F.collect_list(F.struct("depth", *_LEAF)).alias("parts"))
+    a = _around(points, key, radius).where(_reaches(radius, F.lit(0), [F.lit(0)] * 3)).join(halved, [*key, *_CELL], "left")
+    a = a.select(*key, "a", *_CELL, F.explode_outer("parts").alias("part")).select(*key, "a", *_CELL, *(F.coalesce(f"part.{c}", F.lit(0)).alias(c) for c in ("depth", *_LEAF)))
+    a = a.where(_reaches(radius, F.col("depth"), [F.col(c) for c in _LEAF]))
+    at = [*key, *_CELL, "depth", *_LEAF]
+    both = a.groupBy(*at).agg(F.count("*").alias("m")).join(leaves, at, "full")
+    size = lambda c, name: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(0)) / crowded)).cast("int").alias(name)
+    blocks = both.select(*at, size("m", "ps"), size("n", "os")).where("ps > 1 OR os > 1")
+    blocks = stored(blocks, "blocks")
+    one = lambda c: F.coalesce(c, F.lit(1))
+    each = lambda c, name: F.explode(F.sequence(F.lit(0), one(c) - 1)).alias(name)
+    own = lambda row, c, name: F.pmod(F.xxhash64(row), one(c)).cast("int").alias(name)
+    a = a.join(blocks, at, "left").select(*at, "a", own("a", "ps", "p"), each("os", "o"))
+    b = b.join(blocks, at, "left").select(*at, "b", own("b", "os", "o"), each("ps", "p"))
+    return a, b, [*at, "p", "o"]
+
+
+def within(points: DataFrame, others: DataFrame, key: list[str], radius: float, crowded: int = 20_000) -> DataFrame:
+    """Distance join: rows of points and others with equal key no farther apart than radius.
+
+    Both go into cells of that size; each point looks at the 27 cells around it, so the join is on key and cell. Where there are
+    more rows than crowded, dense cells are split first.
+    """
+    if any(df.limit(crowded + 1).count() > crowded for df in (points, others)):
+        a, b, keys = dealt_cells(points, others, key, radius, crowded)
+    else:
+        a, b, keys = _around(points, key, radius), others.select(*key, F.struct(*others.columns).alias("b"), *_cells(radius)), [*key, *_CELL]
+    return a.join(b, keys).withColumn("distance", distance("a", "b")).where(F.col("distance") <= radius).select(*key, "a", "b", "distance")
 
 
 def contacts(ligand_atoms: DataFrame, receptor_atoms: DataFrame, chains: tuple[str, str], rule: ContactRule = ContactRule()) -> DataFrame:

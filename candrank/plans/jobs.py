@@ -276,6 +276,15 @@ def reference_coverage(spark: SparkSession, d: str) -> DataFrame:
     return depth.reference_coverage(rows, t(spark, d, "part").select(F.col("p_partkey").alias("reference"), (F.col("p_size") * 3).cast("long").alias("length")))
 
 
+def crowded_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """system=label parity; half of all vectors lie in one small spot: how many others each has around it, in cells of at most 64."""
+    near = F.when(F.col("vec_id") % 2 == 0, 0.4).otherwise(20.0)
+    xyz = [(F.col("embedding")[i].cast("double") * near).alias(c) for i, c in enumerate("xyz")]
+    points = t(spark, d, "embeddings").where(F.col("embedding").isNotNull()).select((F.col("label") % 2).alias("system"), "vec_id", *xyz)
+    met = docking.within(points, points, ["system"], 0.75, crowded=64)
+    return met.groupBy("system", F.col("a.vec_id").alias("vec_id")).agg(F.count("*").alias("n"), F.sum("b.vec_id").alias("ids"), F.round(F.max("distance"), 6).alias("farthest"))
+
+
 def flag_summary(spark: SparkSession, d: str) -> DataFrame:
     return report.flag_summary(t(spark, d, "events").select("event_type", (F.col("event_id") % 4096).alias("flag")), "event_type")
 
@@ -285,6 +294,6 @@ QUERIES = {
     for f in (
         replication_summary, homolog_lists, homolog_bundles, headline, ranked_report, flag_counts, low_rmsd_share, pose_contacts, published, table_roundtrip,
         depth_scan, hit_table_2, run_files, json_roundtrip, motif_table, usable_runs, near_identical,
-        bundle_files, catalogue_pushed, incremental_rank, file_digests, running_groups, keyed_variant, sql_novelty, sql_homologs, reference_coverage, flag_summary,
+        bundle_files, catalogue_pushed, incremental_rank, file_digests, running_groups, keyed_variant, sql_novelty, sql_homologs, reference_coverage, flag_summary, crowded_contacts,
     )
 }

@@ -92,5 +92,9 @@ coalesce(round(n / (p_size * 3), 6), 0) AS mean_depth, coalesce(round(r.q, 6), 0
             ("with itself and mate mapped", "flag & 2317 = 1"), ("singletons", "flag & 2317 = 9"),
         )
     ),
+    "crowded_contacts": f"""WITH e AS (SELECT label % 2 AS system, vec_id, CASE WHEN vec_id % 2 = 0 THEN 0.4 ELSE 20 END::DOUBLE AS s, CAST(embedding[1] AS DOUBLE) * s AS x, CAST(embedding[2] AS DOUBLE) * s AS y, CAST(embedding[3] AS DOUBLE) * s AS z
+  FROM embeddings WHERE embedding IS NOT NULL),
+m AS (SELECT a.system, a.vec_id, b.vec_id AS other, {_DISTANCE} AS distance FROM e a JOIN e b ON a.system = b.system)
+SELECT system, vec_id, count(*) AS n, CAST(sum(other) AS BIGINT) AS ids, round(max(distance), 6) AS farthest FROM m WHERE distance <= 0.75 GROUP BY system, vec_id""",
     "near_identical": "SELECT l_returnflag, count(*) FILTER (WHERE l_discount * 1000 >= 90 AND l_quantity * 2 >= 80) AS known, count(*) AS n FROM lineitem GROUP BY l_returnflag",
 }
