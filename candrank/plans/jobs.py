@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from candrank.functions import sql
 from candrank.operators import decision, dedup, depth, docking, groups, homologs, manifest, replication, report, select
 from candrank.plans.queries import LINE_ORDER, _candidates, pose_rmsd, t, verdict_table
-from candrank.sources import catalogue, metadata, readers, writers
+from candrank.sources import catalogue, constants, metadata, readers, writers
 from candrank.sources.shared import shared_dir
 from candrank.streaming import landing
 
@@ -276,6 +277,54 @@ def reference_coverage(spark: SparkSession, d: str) -> DataFrame:
     return depth.reference_coverage(rows, t(spark, d, "part").select(F.col("p_partkey").alias("reference"), (F.col("p_size") * 3).cast("long").alias("length")))
 
 
+def published_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as a published table: names with dots and brackets, lines that end in two characters, some cells that do not parse."""
+    to = _folder(spark)
+    key = F.col("s_suppkey")
+    rows = t(spark, d, "supplier").select(
+        F.lit("more").alias("Extra"), F.concat("s_name", F.lit(", é")).alias("Compound"), F.when(key % 5 == 0, "n/a").otherwise((key % 40).cast("string")).alias("n poses"),
+        F.round(F.col("s_acctbal") / 1000, 2).alias("Mean score (kcal/mol)"), (key % 3).alias("Lipinski viol."), F.when(key % 7 > 0, "none").alias("PAINS flag"), (F.round(F.col("s_acctbal")) / 4).alias("Mean dist res50 (Å)"),
+    )
+    rows.write.option("header", True).option("lineSep", "\r\n").csv(to)
+    got = readers.read_published(spark, to, "triage")
+    names = {"Compound": "compound", "n poses": "n_poses", "Mean score (kcal/mol)": "mean_score", "Lipinski viol.": "violations", "PAINS flag": "flag", "Mean dist res50 (Å)": "distance", "Source herb": "herb"}
+    return got.select(*(F.col(f"`{c}`").alias(name) for c, name in names.items()))
+
+
+def target_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The built-in targets against a catalogue of orders: usable runs of each organism, and the runs that are always kept if none was found."""
+    organisms = constants.targets(spark)
+    listed = F.array(*(F.lit(o) for o in sorted({o for _, x in constants.TARGETS[:6] for o in x})))
+    o = t(spark, d, "orders").select(F.element_at(listed, (F.col("o_orderkey") % F.size(listed) + 1).cast("int")).alias("organism"), "o_orderkey")
+    found = organisms.join(o, "organism", "left").groupBy("label", "organism").agg(F.count("o_orderkey").alias("runs"))
+    kept = constants.fallback_runs(spark).select("label", "organism", F.lit(0).cast("long").alias("runs"))
+    return select.append_missing(found.where("runs > 0"), kept.dropDuplicates(["label"]), "label")
+
+
+def output_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of each nation in one file; the manifest of these files as it was written, and a row that its own digest is that of its text."""
+    to, listed = _folder(spark), _folder(spark)
+    rows = t(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.concat_ws("|", "s_suppkey", "s_name").alias("value"))
+    rows.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").select("s_nationkey", "value").write.partitionBy("s_nationkey").text(to)
+    outer = report.output_manifest(spark, to, listed).select("sha256", F.element_at(F.split("path", "/"), -1).alias("name")).where("name LIKE 'part-%'")
+    text = spark.read.text(listed, wholetext=True).select(F.sha2("value", 256).alias("sha256"))
+    files = spark.read.schema("path string, bytes bigint, sha256 string").json(listed)
+    made = files.select(F.regexp_extract("path", "s_nationkey=([0-9]+)/", 1).cast("long").alias("nation"), "bytes", "sha256")
+    return made.unionByName(outer.join(text, "sha256").agg(F.lit(-1).cast("long").alias("nation"), F.count("*").alias("bytes"), F.lit("same").alias("sha256")))
+
+
+def empty_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """A table of each order status with none of its rows or all: how many rows come back, with the header alone or without a file where there are none."""
+    orders, made = t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), []
+    for status in ("O", "F", "none"):
+        for skip in (False, True):
+            to = _folder(spark)
+            writers.write_table(orders.where(F.col("o_orderstatus") == status), to, one_file=True, skip_empty=skip)
+            back = readers.read_table(spark, to, "o_orderkey bigint, o_orderstatus string")
+            made.append(back.agg(F.lit(status).alias("status"), F.lit(skip).alias("skip_empty"), F.count("*").alias("rows"), F.coalesce(F.sum("o_orderkey"), F.lit(0)).alias("keys")))
+    return functools.reduce(DataFrame.unionByName, made)
+
+
 def crowded_contacts(spark: SparkSession, d: str) -> DataFrame:
     """system=label parity; half of all vectors lie in one small spot: how many others each has around it, in cells of at most 64."""
     near = F.when(F.col("vec_id") % 2 == 0, 0.4).otherwise(20.0)
@@ -295,5 +344,6 @@ QUERIES = {
         replication_summary, homolog_lists, homolog_bundles, headline, ranked_report, flag_counts, low_rmsd_share, pose_contacts, published, table_roundtrip,
         depth_scan, hit_table_2, run_files, json_roundtrip, motif_table, usable_runs, near_identical,
         bundle_files, catalogue_pushed, incremental_rank, file_digests, running_groups, keyed_variant, sql_novelty, sql_homologs, reference_coverage, flag_summary, crowded_contacts,
+        published_scan, target_runs, output_manifest, empty_outputs,
     )
 }

@@ -96,5 +96,15 @@ coalesce(round(n / (p_size * 3), 6), 0) AS mean_depth, coalesce(round(r.q, 6), 0
   FROM embeddings WHERE embedding IS NOT NULL),
 m AS (SELECT a.system, a.vec_id, b.vec_id AS other, {_DISTANCE} AS distance FROM e a JOIN e b ON a.system = b.system)
 SELECT system, vec_id, count(*) AS n, CAST(sum(other) AS BIGINT) AS ids, round(max(distance), 6) AS farthest FROM m WHERE distance <= 0.75 GROUP BY system, vec_id""",
+    "published_scan": """SELECT s_name || ', é' AS compound, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 40 END AS n_poses, round(s_acctbal / 1000, 2) AS mean_score, s_suppkey % 3 AS violations,
+CASE WHEN s_suppkey % 7 > 0 THEN 'none' END AS flag, round(s_acctbal) / 4 AS distance, CAST(NULL AS VARCHAR) AS herb FROM supplier""",
+    "target_runs": """WITH o(organism, label, i) AS (VALUES ('Glycyrrhiza glabra', 'glycyrrhiza', 0), ('Glycyrrhiza uralensis', 'glycyrrhiza', 1), ('Panax ginseng', 'panax', 2), ('Panax notoginseng', 'panax', 3), ('Panax quinquefolius', 'panax', 4),
+  ('Platycodon grandiflorus', 'platycodon', 5), ('Rehmannia glutinosa', 'rehmannia', 6), ('Schisandra chinensis', 'schisandra', 7), ('Scutellaria baicalensis', 'scutellaria', 8))
+SELECT label, organism, count(*) AS runs FROM o JOIN orders ON o_orderkey % 9 = i GROUP BY ALL
+UNION ALL SELECT 'positive_control', 'Waxsystermes-associated sample', 0 UNION ALL SELECT 'panax_legacy', 'Panax ginseng', 0""",
+    "output_manifest": """WITH f AS (SELECT s_nationkey, string_agg(s_suppkey || '|' || s_name || chr(10), '' ORDER BY s_suppkey) AS value FROM supplier GROUP BY s_nationkey)
+SELECT CAST(s_nationkey AS BIGINT) AS nation, strlen(value) AS bytes, sha256(value) AS sha256 FROM f UNION ALL SELECT -1, 1, 'same'""",
+    "empty_outputs": """SELECT status, skip_empty, count(o_orderkey) AS rows, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS keys
+FROM (VALUES ('O'), ('F'), ('none')) AS s(status) CROSS JOIN (VALUES (FALSE), (TRUE)) AS k(skip_empty) LEFT JOIN orders ON o_orderstatus = status GROUP BY ALL""",
     "near_identical": "SELECT l_returnflag, count(*) FILTER (WHERE l_discount * 1000 >= 90 AND l_quantity * 2 >= 80) AS known, count(*) AS n FROM lineitem GROUP BY l_returnflag",
 }
