@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candrank.sources.catalogue import opened
+from candrank.sources.writers import CHUNKED
 
 
 CHUNK = 1 << 20
-#: Kinds of store that a task opens by itself.
-CHUNKED = ("file", "s3", "gs", "hdfs")
 DIGESTS = "bytes bigint, sha256 string, md5 string"
 
 
@@ -43,17 +42,23 @@ def digests(lists: DataFrame, name: str, paths: str) -> DataFrame:
     return lists.select(name, paths).mapInArrow(run, f"{name} {lists.schema[name].dataType.simpleString()}, {DIGESTS}")
 
 
+def listed(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """The files below path as Spark lists them; what is selected says whether a file is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+
+
 def file_manifest(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, bytes, sha256, md5) of every file below path, by path, of whatever size; no content goes through Spark's rows.
 
     Where only Spark's readers open a store, a file is one value, and one of 2 GiB or more raises.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    files = listed(spark, path, recursive)
     one = files.select("path").first()
     if one and one.path.split(":")[0] not in CHUNKED:
         return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")).orderBy("path")
-    # The number of tasks is Spark's; each file is one task's, and tasks take files by a hash of the path.
-    lists = files.select("path", F.array("path").alias("paths")).repartition("path")
+    # Each file is one task's, and tasks take files by a hash of the path. Their number is stated, as paths are small and files are not: an
+    # adaptive plan would give all of them to one task.
+    lists = files.select("path", F.array("path").alias("paths")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     return digests(lists, "path", "paths").orderBy("path")
 
 

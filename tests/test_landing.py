@@ -151,3 +151,21 @@ def test_digests_of_very_large_files_take_little_memory(spark, tmp_path):
     r = manifest.file_manifest(spark, f"file://{tmp_path}", recursive=False).collect()
     assert [(os.path.basename(x.path), x.bytes, x.sha256) for x in r] == [("whole", 3 << 30, whole.hexdigest())]
     assert tuple(manifest.parts_digest(spark, paths).first()) == (3, 1 << 30, parts.hexdigest())
+
+
+def test_files_of_values_are_written_by_many_tasks(spark, tmp_path):
+    """Each value has one whole file, in order, and small tables do not make one task write or read them all."""
+    from candrank.sources.writers import write_files
+
+    rows = [(k % 40 if k % 41 else None, k, f"line {k:03}" if k % 7 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, place int, value string").repartition(3)
+    write_files(df, "k", f"file://{tmp_path}/f", "place")
+    found = {os.path.basename(d).split("=")[1]: os.listdir(d) for d in glob.glob(f"{tmp_path}/f/k=*")}
+    assert len(found) == 41 and all(sorted(x) == ["part-00000.txt"] for x in found.values())
+    for k in (0, 7, None):
+        name = "__HIVE_DEFAULT_PARTITION__" if k is None else str(k)
+        assert open(f"{tmp_path}/f/k={name}/part-00000.txt").read() == "".join(f"{v or ''}\n" for c, _, v in rows if c == k)
+    write_files(df, "k", f"file://{tmp_path}/f", "place")  # again, as a task that runs twice does
+    assert spark.read.text(f"file://{tmp_path}/f").count() == 400
+    plan = manifest.file_manifest(spark, f"file://{tmp_path}/f")
+    assert plan.count() == 41 and "REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
