@@ -267,7 +267,8 @@ def sql_homologs(spark: SparkSession, d: str) -> DataFrame:
     """The first four distinct suppliers of each part, asked in SQL text by a table function over partitions."""
     sql.register(spark)
     _hits(spark, d).where("qseqid <> ''").createOrReplaceTempView("candrank_hits")
-    return spark.sql("SELECT safe_name(key) AS name, rank, value FROM first_distinct(TABLE(candrank_hits) PARTITION BY (qseqid) ORDER BY (ordinal), 'qseqid', 'saccver', 4)")
+    rows = sql.first_rows("candrank_hits", "qseqid", "saccver", "ordinal", 4)
+    return spark.sql(f"SELECT safe_name(key) AS name, rank, value FROM first_distinct(TABLE({rows}) PARTITION BY (qseqid) ORDER BY (ordinal), 'qseqid', 'saccver', 4)")
 
 
 def reference_coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -101,6 +101,23 @@ def test_first_distinct_in_sql_text(spark):
             spark.sql(f"SELECT * FROM first_distinct(TABLE(hits_in) PARTITION BY (k) ORDER BY (at), {bad})").collect()
 
 
+def test_first_distinct_gets_few_rows_and_columns(spark):
+    sql.register(spark)
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "b", "c", None]), rnd.choice([None, *range(30)]), k, "x" * 50) for k in range(900)]
+    spark.createDataFrame(rows, "k string, v int, at int, more string").repartition(5).createOrReplaceTempView("hits_in")
+    few = sql.first_rows("hits_in", "k", "v", "at", 4)
+    asked = "SELECT key, rank, value FROM first_distinct(TABLE({}) PARTITION BY (k) ORDER BY (at), 'k', 'v', 4)"
+    got = [spark.sql(asked.format(x)) for x in ("hits_in", few)]
+    assert spark.sql(few).count() == 16
+    plain = [(k, i + 1, v) for k in ("a", "b", "c", None) for i, v in enumerate(list(dict.fromkeys(v for g, v, _, _ in rows if g == k and v is not None))[:4])]
+    for df in got:
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(plain, key=str)
+    # What the rows are not asked by does not go to Python.
+    sent = next(x for x in got[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "named_struct" in x)
+    assert "more" not in sent and "at#" not in sent
+
+
 def test_coverage_against_a_plain_count(spark):
     rnd = random.Random(9)
     lengths = {"a": 50, "b": 7, "c": 10, "none": 5}
