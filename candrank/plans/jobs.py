@@ -240,7 +240,7 @@ def running_groups(spark: SparkSession, d: str) -> DataFrame:
     head.unionByName(known).repartition("k").sortWithinPartitions("k", "line", "value").select("value").write.text(to)
     lines = groups.running_groups(readers.with_ordinal(spark.read.text(to)), F.col("value").rlike("^[>;]"))
     quantity = F.substring_index("value", "|", -1)
-    made = lines.groupBy("ordinal.file_path", "number").agg(F.first("header").alias("header"), F.count_if(~F.col("is_header")).alias("lines"), F.coalesce(F.sum(F.when(~F.col("is_header"), quantity.try_cast("bigint"))), F.lit(0)).alias("quantity"))
+    made = lines.groupBy("head", "header").agg(F.count_if(~F.col("is_header")).alias("lines"), F.coalesce(F.sum(F.when(~F.col("is_header"), quantity.try_cast("bigint"))), F.lit(0)).alias("quantity"))
     return made.select("header", "lines", "quantity")
 
 

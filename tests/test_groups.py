@@ -66,6 +66,19 @@ def test_groups_where_no_separator_can_cut(spark, tmp_path, small_splits):
     assert under.where("number = 0").count() == 50 + 1
 
 
+def test_groups_are_counted_without_a_sort_of_lines(spark, tmp_path, small_splits):
+    """Neither summaries of splits nor lines under a header sort what a task reads, and lines are not shuffled to meet what their split begins with."""
+    write_fasta_files(tmp_path)
+    lines = with_ordinal(spark.read.text(str(tmp_path)))
+    under = running_groups(lines, F.col("value").rlike("^>"))
+    same = under.groupBy("ordinal.file_path", "number").agg(F.collect_set("header").alias("h"), F.collect_set("head").alias("n"), F.min("ordinal.n").alias("first")).where("number > 0").collect()
+    assert len(same) > 15 and all(len(r.h) == 1 and r.n == [r.first] for r in same)
+    counted = under.groupBy("head", "header").agg(F.count("*").alias("lines"))
+    assert sum(r.lines for r in counted.collect()) == lines.count()
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+
+
 def test_documents_of_mixed_types_and_bad_ones(spark):
     texts = ['{"z": {"k": 1}, "a": [1, "x"], "m": null, "b": "q", "c": 2.5, "d": true}', "{}", "[1]", "3", "", None, '{"a": 1', '{"a": 1, "a": 2}', '{"ü": {"deep": {"er": [1]}}}']
     rows, bad = keyed_variant(spark.createDataFrame([(t, 1) for t in texts], "value string, key int"))
