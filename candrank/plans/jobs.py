@@ -142,7 +142,7 @@ def run_files(spark: SparkSession, d: str) -> DataFrame:
     rows = o.select(F.concat(F.lit("R"), F.col("o_orderkey")).alias("run_accession"), urls.alias("fastq_ftp"), F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise(F.col("o_custkey").cast("string")).alias("read_count"))
     writers.write_table(rows, to)
     runs = metadata.run_metadata(spark, to)
-    return metadata.fastq_plan(runs).join(runs.select("run_accession", "read_count"), "run_accession").select("run_accession", "url", "md5", "bytes", "read_count")
+    return metadata.fastq_plan(runs, "read_count").select("run_accession", "url", "md5", "bytes", "read_count")
 
 
 def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:

@@ -291,6 +291,23 @@ def test_metadata_wide_or_narrow(spark, tmp_path):
         run_metadata(spark, str(tmp_path / "e.tsv"))
 
 
+def test_files_of_runs_meet_nothing_again(spark, tmp_path):
+    """Rows of a run in several splits: the first counts, its columns come with its files, and firsts are taken after rows are dealt."""
+    from candrank.sources.metadata import fastq_plan, run_metadata
+
+    lines = [f"R{k % 40}\th/{k};h/x{k}\t{k}" for k in range(400)]
+    (tmp_path / "m.tsv").write_text("\n".join(["run_accession\tfastq_ftp\tread_count", *lines]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        made = fastq_plan(run_metadata(spark, str(tmp_path / "m.tsv")), "read_count")
+        assert rows(made, "run_accession", "url", "read_count") == sorted((f"R{k}", f"https://h/{x}{k}", k) for k in range(40) for x in ("", "x"))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert "Join" not in plan and plan.index("REPARTITION_BY_COL") > plan.index("partial_min_by")
+
+
 def test_homologs(spark):
     from candrank.operators.homologs import bundles, homolog_lists, retrieved
 
