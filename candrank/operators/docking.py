@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +106,119 @@ def within(points: DataFrame, others: DataFrame, key: list[str], radius: float,
     return a.join(b, keys).withColumn("distance", distance("a", "b")).where(F.col("distance") <= radius).select(*key, "a", "b", "distance")
 
 
+#: Rows of one cell that go as one row.
+BLOCK = 2_048
+
+
+def _packed(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """(key, cell, block, name): the rows (key, cell, row) of each cell in arrays of some BLOCK."""
+    sizes = rows.groupBy(*key, *_CELL).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64("row"), F.coalesce("blocks", F.lit(1))).cast("int")
+    return rows.join(sizes, [*key, *_CELL], "left").groupBy(*key, *_CELL, block.alias("block")).agg(F.collect_list("row").alias(name))
+
+
+def _tiles(xyz: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, least, greatest) of tiles of at most that many rows which lie close together: a sort by halvings of the box around all."""
+    low, high = xyz.min(axis=0), xyz.max(axis=0)
+    if len(xyz) <= most:
+        return np.arange(len(xyz)), np.zeros(1, dtype=np.int64), low[None], high[None]
+    at, code = ((xyz - low) / np.where(high > low, high - low, 1) * 63).astype(np.int64), np.zeros(len(xyz), dtype=np.int64)
+    for bit in reversed(range(6)):
+        for axis in range(3):
+            code = code << 1 | at[:, axis] >> bit & 1
+    order, starts = np.argsort(code, kind="stable"), np.arange(0, len(xyz), most)
+    return order, starts, np.minimum.reduceat(xyz[order], starts), np.maximum.reduceat(xyz[order], starts)
+
+
+def _around_each(a: np.ndarray, b: np.ndarray, values: np.ndarray, bound: float, crowded: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a: how many rows of b have a squared distance of at most bound, the sum of their values, the greatest squared distance (-1 if none).
+
+    Tiles that lie within the bound as a whole are counted as a whole, and of these only such are compared as can hold the farthest.
+    """
+    if max(abs(int(values.max())), abs(int(values.min()))) * len(values) >= 1 << 63:
+        raise OverflowError("a sum of values is beyond a long")
+    if len(a) * len(b) <= 1 << 14:
+        crowded = max(len(a), len(b))  # one tile
+    order_a, starts_a, low_a, high_a = _tiles(a, crowded)
+    order_b, starts_b, low_b, high_b = _tiles(b, crowded)
+    b, values, sizes = b[order_b], values[order_b], np.diff([*starts_b, len(b)])
+    sums, tile = np.add.reduceat(values, starts_b), np.repeat(np.arange(len(starts_b)), sizes)
+    n, total, far = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64), np.full(len(a), -1.0)
+    for s, low, high in zip(starts_a, low_a, high_a):
+        rows = order_a[s : s + crowded]
+        least = (np.maximum(0, np.maximum(low_b - high, low - high_b)) ** 2).sum(axis=1)
+        most = (np.maximum(high_b - low, high - low_b) ** 2).sum(axis=1)
+        # Room for rounding: what is near the bound is compared row by row.
+        inside, apart = most <= bound * (1 - 1e-9), least > bound * (1 + 1e-9)
+        n[rows], total[rows] = sizes[inside].sum(), sums[inside].sum()
+        asked = ~inside & ~apart
+        if inside.any():
+            asked |= inside & (most >= least[inside].max() * (1 - 1e-9))
+        if not asked.any():
+            continue
+        held = asked[tile]
+        x, whole, v = b[held], inside[tile[held]], values[held]
+        d = a[rows][:, None, 0] - x[None, :, 0]
+        d *= d
+        for axis in (1, 2):
+            e = a[rows][:, None, axis] - x[None, :, axis]
+            e *= e
+            d += e
+        met = d <= bound
+        far[rows] = np.where(met, d, -1.0).max(axis=1)
+        if not whole.all():
+            new = met[:, ~whole]
+            n[rows] += new.sum(axis=1)
+            total[rows] += np.where(new, v[~whole], 0).sum(axis=1)
+    return n, total, far
+
+
+def _counted(key: int, radius: float, crowded: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, a, b) to (key, name, n, total, farthest) for each row of a block a that has rows of block b around it."""
+    bound = radius * radius
+    while np.sqrt(bound) <= radius:
+        bound = np.nextafter(bound, np.inf)
+    while np.sqrt(bound) > radius:
+        bound = np.nextafter(bound, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = batch.column(key)[i].values, batch.column(key + 1)[i].values
+                xyz = [np.stack([rows.field(c).to_numpy() for c in "xyz"], axis=1) for rows in (a, b)]
+                n, total, far = _around_each(*xyz, b.field("value").to_numpy(), bound, crowded)
+                rows = np.flatnonzero(n)
+                if len(rows):
+                    own = [batch.column(k).take(pa.array(np.full(len(rows), i))) for k in range(key)]
+                    made = [a.field("name").take(pa.array(rows)), pa.array(n[rows]), pa.array(total[rows]), pa.array(np.sqrt(far[rows]))]
+                    yield pa.RecordBatch.from_arrays([*own, *made], names=[*batch.schema.names[:key], "name", "n", "total", "farthest"])
+
+    return run
+
+
+def neighbourhoods(points: DataFrame, others: DataFrame, key: list[str], radius: float, name: str, value: str, crowded: int = 64) -> DataFrame:
+    """(key, name, n, total, farthest) of points that have others around them: what within gives, counted by key and name without a row for each pair.
+
+    total is the sum of the others' value (a whole number; null counts as 0), farthest the greatest distance. Rows of a cell go in
+    blocks, points also to the cells within the radius, and one block of others is one key of the join. Within two blocks, tiles of at
+    most crowded rows are told apart by the boxes around them. Points without a place have nothing around them.
+    """
+    a, b = (df.dropna(subset=["x", "y", "z"]) for df in (points, others))
+    xyz = [F.col(c).cast("double").alias(c) for c in "xyz"]
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.struct(*xyz, F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("value"))
+    b = stored(_packed(b.select(*key, row.alias("row"), *_cells(radius)), key, "b"), "blocks")
+    blocks = b.groupBy(*key, *_CELL).agg(F.collect_list("block").alias("blocks"))
+    a = _around(a.select(*key, *xyz, F.col(name).alias("name")), key, radius).where(_reaches(radius, F.lit(0), [F.lit(0)] * 3))
+    a = a.join(blocks.select(*key, *_CELL), [*key, *_CELL], "left_semi").select(*key, *_CELL, F.struct("a.x", "a.y", "a.z", "a.name").alias("row"))
+    a = _packed(a, key, "a").drop("block").join(blocks, [*key, *_CELL]).select(*key, "a", *_CELL, F.explode("blocks").alias("block"))
+    a = a.repartition(tasks, *key, *_CELL, "block")  # a stated number: few bytes are much work
+    met = a.join(b, [*key, *_CELL, "block"]).select(*key, "a", "b")
+    kinds = ", ".join([*(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in key), f"name {points.schema[name].dataType.simpleString()}", "n bigint, total bigint, farthest double"])
+    made = met.mapInArrow(_counted(len(key), radius, crowded), kinds)
+    return made.groupBy(*key, F.col("name").alias(name)).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("farthest").alias("farthest"))
+
+
 def contacts(ligand_atoms: DataFrame, receptor_atoms: DataFrame, chains: tuple[str, str], rule: ContactRule = ContactRule()) -> DataFrame:
     """One row for each pose: residues in contact by chain and in total, contact flags, nearest distance to the named residue."""
     met = within(ligand_atoms, receptor_atoms, ["system"], rule.radius)

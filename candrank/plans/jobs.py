@@ -331,8 +331,8 @@ def crowded_contacts(spark: SparkSession, d: str) -> DataFrame:
     near = F.when(F.col("vec_id") % 2 == 0, 0.4).otherwise(20.0)
     xyz = [(F.col("embedding")[i].cast("double") * near).alias(c) for i, c in enumerate("xyz")]
     points = t(spark, d, "embeddings").where(F.col("embedding").isNotNull()).select((F.col("label") % 2).alias("system"), "vec_id", *xyz)
-    met = docking.within(points, points, ["system"], 0.75, crowded=64)
-    return met.groupBy("system", F.col("a.vec_id").alias("vec_id")).agg(F.count("*").alias("n"), F.sum("b.vec_id").alias("ids"), F.round(F.max("distance"), 6).alias("farthest"))
+    met = docking.neighbourhoods(points, points, ["system"], 0.75, "vec_id", "vec_id", crowded=64)
+    return met.select("system", "vec_id", "n", F.col("total").alias("ids"), F.round("farthest", 6).alias("farthest"))
 
 
 def flag_summary(spark: SparkSession, d: str) -> DataFrame:
