@@ -151,12 +151,14 @@ def _around_each(a: np.ndarray, b: np.ndarray, values: np.ndarray, bound: float,
         # Room for rounding: what is near the bound is compared row by row.
         inside, apart = most <= bound * (1 - 1e-9), least > bound * (1 + 1e-9)
         n[rows], total[rows] = sizes[inside].sum(), sums[inside].sum()
-        asked = ~inside & ~apart
+        held = (~inside & ~apart)[tile]
         if inside.any():
-            asked |= inside & (most >= least[inside].max() * (1 - 1e-9))
-        if not asked.any():
+            # A row nearer the middle of the tile by more than its width than another is farthest from none of its rows.
+            middle, within = (low + high) / 2, inside[tile]
+            off = np.where(within, np.sqrt(((b - middle) ** 2).sum(axis=1)), -1.0)
+            held |= within & (off >= off.max() * (1 - 1e-9) - np.sqrt(((a[rows] - middle) ** 2).sum(axis=1).max()) * 2 * (1 + 1e-9))
+        if not held.any():
             continue
-        held = asked[tile]
         x, whole, v = b[held], inside[tile[held]], values[held]
         d = a[rows][:, None, 0] - x[None, :, 0]
         d *= d
