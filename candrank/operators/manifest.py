@@ -47,12 +47,18 @@ def listed(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
 
 
-def file_manifest(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, bytes, sha256, md5) of every file below path, by path, of whatever size; no content goes through Spark's rows.
+def named(files: DataFrame, path: str) -> DataFrame:
+    """(path) of the files (file) below path that write_files returned; no folder is listed."""
+    return files.select(F.concat(F.lit(f"{path}/"), "file").alias("path"))
+
+
+def file_manifest(spark: SparkSession, path: str, recursive: bool = True, written: DataFrame | None = None) -> DataFrame:
+    """(path, bytes, sha256, md5) of every file below path, by path, of whatever size; no content goes through Spark's rows. With written, of those that write_files
+    returned, without a list of the folder.
 
     Where only Spark's readers open a store, a file is one value, and one of 2 GiB or more raises.
     """
-    files = listed(spark, path, recursive)
+    files = listed(spark, path, recursive) if written is None else named(written, path)
     one = files.select("path").first()
     if one and one.path.split(":")[0] not in CHUNKED:
         return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")).orderBy("path")

@@ -169,3 +169,24 @@ def test_files_of_values_are_written_by_many_tasks(spark, tmp_path):
     assert spark.read.text(f"file://{tmp_path}/f").count() == 400
     plan = manifest.file_manifest(spark, f"file://{tmp_path}/f")
     assert plan.count() == 41 and "REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bundles_are_read_by_the_names_that_tasks_left(spark, tmp_path):
+    """No folder is listed: a file that no task named is not read, and the plan holds no scan of the folder."""
+    from candrank.sources import readers
+
+    rows = [(f"q {k}", "candidate", 0, f"q {k}|CANDIDATE", "ACGT" * 50) for k in range(30)] + [(f"q {k}", "homolog", 1 + r, f"h{r} of {k}", "" if r == 2 else "MK" * r) for k in range(0, 30, 3) for r in range(5)]
+    made = spark.createDataFrame(rows, "query string, kind string, place int, header string, seq string").repartition(5)
+    files = homologs.write_bundles(made, f"file://{tmp_path}/b")
+    assert sorted(r.file for r in files.collect()) == sorted(f"query=q {k}/part-00000.txt" for k in range(30))
+    want = sorted(map(tuple, homologs.read_bundles(spark, f"file://{tmp_path}/b").collect()))
+    os.mkdir(tmp_path / "b" / "query=other")
+    (tmp_path / "b" / "query=other" / "part-00000.txt").write_text(">other\nA\n")
+    back = homologs.read_bundles(spark, f"file://{tmp_path}/b", files)
+    assert sorted(map(tuple, back.collect())) == want and len(want) == len(rows)
+    assert f"{tmp_path}/b" not in "".join(back.inputFiles())
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "x").write_text("text before\n> a 1\n" + "ACGT\n" * 600_000 + ">b\nMK\n\n")
+    named = spark.createDataFrame([("x",)], "file string")
+    found = [(r.id, len(r.seq)) for r in readers.fasta(readers.file_records(named, f"file://{tmp_path}/long")).orderBy("ordinal").collect()]
+    assert found == [("a", 2_400_000), ("b", 2)] == [(r.id, len(r.seq)) for r in readers.read_fasta(spark, f"file://{tmp_path}/long").orderBy("ordinal").collect()]
